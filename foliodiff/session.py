@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with UTC timestamps and adaptive execution on."""
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers import the package too
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
