@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, quotes, url_filter
+from . import factorisation, quality_rules, quotes, url_filter
 from .common import table
 
 
@@ -21,6 +21,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = factorisation.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return factorisation.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -29,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quotation_linking": op1_quotation_linking,
         "op6_quality_rules": op6_quality_rules,
+        "op8_quality_classifier": op8_quality_classifier,
         "op10_url_filter": op10_url_filter,
     }
 
