@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, quality_rules, quotes, url_filter
+from . import factorisation, quality_rules, quotes, substring_dedup, url_filter
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -37,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quotation_linking": op1_quotation_linking,
         "op6_quality_rules": op6_quality_rules,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
     }
 
