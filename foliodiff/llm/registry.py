@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, quality_rules, quotes, substring_dedup, url_filter
+from . import factorisation, line_dedup, packing, quality_rules, quotes, substring_dedup, url_filter
 from .common import table
 
 
@@ -16,6 +16,15 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("body_sha256", F.sha2("body", 256)).drop("body")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +49,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quotation_linking": op1_quotation_linking,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_substring_dedup": op9_substring_dedup,
@@ -48,4 +59,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_dedup": line_dedup.SQL,
+    }
