@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, line_dedup, packing, quality_rules, quotes, substring_dedup, url_filter
+from . import decontaminate, factorisation, line_dedup, packing, quality_rules, quotes, substring_dedup, url_filter
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("body_sha256", F.sha2("body", 256)).drop("body")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quotation_linking": op1_quotation_linking,
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
@@ -60,5 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_benchmark_decontamination": decontaminate.SQL,
         "op5_line_dedup": line_dedup.SQL,
     }
