@@ -10,9 +10,10 @@ Every passage is scored against the index: BM25 with a passage's distinct words
 least score that a passage with such overlaps can have (all its term weights but the heaviest ones that the allowed
 missing shingles could hide), so that retrieving all items at or above it loses none. Weights are divided by that
 threshold, and items are cut into blocks with a maximal weight per term and block. Block-max WAND in vectorised form:
-bounds are summed for all passages of a batch at once, terms of most postings counted for their block as if present (they
-are the non-essential lists); a block whose bound stays under the threshold is skipped without touching its postings, the
-others are scored exactly, and what reaches the threshold is verified by its shingles.
+bounds are summed for all passages of a batch at once. Terms of many postings are the non-essential lists: a block's bound
+counts them as present, at the most that one of its items can gain from them. A block whose bound stays under the threshold
+is skipped without touching its postings, the others are scored exactly, and what reaches the threshold is verified by its
+shingles.
 
 The index is built by Spark. It goes to the tasks in shards of at most SHARD_BYTES of item text each, whose size is
 measured first; a larger benchmark makes more shards, each of them one more scan. Statistics cover all items. Scans
@@ -77,7 +78,7 @@ class Index:
     block_terms: np.ndarray  # CSR over essential terms: offsets
     block_at: np.ndarray  # blocks
     block_max: np.ndarray  # largest weight of the term in the block
-    base: np.ndarray  # of a block: bound by the non-essential terms
+    base: np.ndarray  # of a block: the most that an item of it gains from the non-essential terms
     sides: list[tuple[np.ndarray, ...]]  # of an item: distinct shingle hashes of question and answer
     widths: list[tuple[int, ...]]  # words of those shingles
 
@@ -136,14 +137,14 @@ def build(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_w
         widths.append(tuple(min(SHINGLE, len(p)) for p in parts))
         sides.append(tuple(np.unique(_grams(x, k)) if k else np.zeros(0, np.uint64) for x, k in zip(h, widths[-1], strict=True)))
     n_blocks = -(-len(items) // BLOCK_ITEMS)
-    base, counts, at, top, lists = np.zeros(n_blocks), [], [], [], []
+    common, counts, at, top, lists = np.zeros(n_blocks * BLOCK_ITEMS), [], [], [], []
     for w, t in terms.items():
         who, weight = (np.array(x) for x in zip(*postings[t], strict=True))
         lists.append((who, weight))
         best = np.zeros(n_blocks)
         np.maximum.at(best, who // BLOCK_ITEMS, weight)
         if df[w.decode()] > max(2, COMMON * n_items):
-            base += best
+            common[who] += weight
             counts.append(0)
         else:
             there = np.flatnonzero(best)
@@ -152,7 +153,7 @@ def build(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_w
             top.append(best[there])
     return Index(
         [i for i, _ in items], longest, pa.array(list(terms), pa.binary()).cast(pa.string()), lists, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
-        np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *top]), base, sides, widths,
+        np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *top]), common.reshape(n_blocks, BLOCK_ITEMS).max(axis=1), sides, widths,
     )
 
 
@@ -210,7 +211,6 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
         every = np.repeat(np.arange(first[-1]), len(best_of_block)) * n_blocks + np.tile(best_of_block, first[-1])
         live = np.unique(np.concatenate([live, every]))
     out: dict[tuple[int, int], float] = {}
-    h = None
     for p in np.unique(live // n_blocks).tolist():
         d = int(np.searchsorted(first, p, "right")) - 1
         start = int(offsets[d]) + (p - int(first[d])) * index.length
@@ -223,10 +223,9 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
             score[who] += weight
         hits = np.flatnonzero(score >= 1)
         hits = hits[np.isin(hits // BLOCK_ITEMS, open_blocks)]
-        if len(hits) and h is None:
-            h = hashes(words)
+        h = hashes(words.take(pa.array(codes[start:stop]))) if len(hits) else None
         for item in hits.tolist():
-            if all(not k or _holds(h[codes[start:stop]], side, k) for side, k in zip(index.sides[item], index.widths[item], strict=True)):
+            if all(not k or _holds(h, side, k) for side, k in zip(index.sides[item], index.widths[item], strict=True)):
                 out[d, item] = max(out.get((d, item), 0.0), float(score[item]))
     return [(d, item, s) for (d, item), s in out.items()]
 
