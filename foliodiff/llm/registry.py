@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factorisation, line_dedup, packing, quality_rules, quotes, substring_dedup, url_filter
+from . import decontaminate, factorisation, line_dedup, near_dedup, packing, quality_rules, quotes, substring_dedup, url_filter
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.link_components(table(spark, sf_dir, "documents"), width=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
