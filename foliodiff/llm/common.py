@@ -47,9 +47,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet beside the checkpoints and read back: compressed, pruned by column, cut anew into tasks."""
+    """df, written once as Parquet beside the checkpoints and read back: compressed, pruned by column, cut anew into tasks.
+
+    The shuffle files of the write have served then, and go at once.
+    """
     spark = df.sparkSession
     checkpoint_ready(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/foliodiff-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factorisation, line_dedup, near_dedup, packing, quality_rules, quotes, substring_dedup, url_filter
+from . import decontaminate, factorisation, line_dedup, near_dedup, packing, pitman_yor, quality_rules, quotes, substring_dedup, url_filter
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return pitman_yor.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quotation_linking": op1_quotation_linking,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
