@@ -28,8 +28,8 @@ def gap_threshold(rows: DataFrame) -> DataFrame:
 
 
 def nearest_column(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """rows with column: the nearest of columns (doc, column, at) within COLUMN_REACH, else -1; first on ties."""
-    list_ = columns.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "column"))).alias("cols"))
-    best = F.array_min(F.transform("cols", lambda k: F.struct(F.abs(F.col("x") - k["at"]).alias("far"), k["column"].alias("column"))))
+    """rows with column: the nearest of columns (doc, column, x0) within COLUMN_REACH, else -1; first on ties."""
+    list_ = columns.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("x0", "column"))).alias("cols"))
+    best = F.array_min(F.transform("cols", lambda k: F.struct(F.abs(F.col("x") - k["x0"]).alias("far"), k["column"].alias("column"))))
     joined = rows.join(list_, "doc", "left")
     return joined.withColumn("column", F.when(best["far"] <= COLUMN_REACH, best["column"]).otherwise(-1)).drop("cols")

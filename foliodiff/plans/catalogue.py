@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliodiff.plans import compare_queries, naming_queries, text_queries
+
+_ALL = {**text_queries.QUERIES, **naming_queries.QUERIES, **compare_queries.QUERIES}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts by nation; replaced when the comparison pipeline lands."""
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """From named values of two versions to issues per account, package and report, rules applied."""
+    return compare_queries.issue_rollup(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

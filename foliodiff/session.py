@@ -21,6 +21,7 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FOLIODIFF_DRIVER_MEMORY", "12g"))
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
