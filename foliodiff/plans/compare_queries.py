@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliodiff.operators import items, layout, report, rules, sheets
+from foliodiff.functions.lines import clean_lines, line_class
+from foliodiff.operators import fields, items, layout, report, residue, rules, sheets, text_diff
 from foliodiff.plans import sql
 from foliodiff.plans import workloads as w
 
@@ -131,6 +132,41 @@ def nearest_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc", "ord", F.col("column").cast("int").alias("col"))
 
 
+def artifact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(clean_lines(F.col("text"))).alias("line_no", "line"))
+
+
+def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kv = w.frame(spark, sf_dir, w.KV_LINES).select(line_class(F.col("line")).alias("line_class"))
+    return artifact_filter(spark, sf_dir).select(line_class(F.col("line")).alias("line_class")).union(kv).groupBy("line_class").agg(F.count("*").alias("n"))
+
+
+_VERSIONS = f"""
+SELECT pair_id AS group_id, 0 AS version, idx AS ord, label, value FROM ({w.ITEMS_BASE}) v0
+UNION ALL SELECT pair_id, 1, idx, label, value FROM ({w.ITEMS_COMP}) v1
+UNION ALL SELECT pair_id, 2, idx, label, CASE WHEN (pair_id + idx) % 21 = 0 THEN '' ELSE value END FROM ({w.ITEMS_COMP}) v2 WHERE (pair_id + idx) % 31 <> 0
+"""
+
+
+def field_nway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fields.compare_versions(w.frame(spark, sf_dir, _VERSIONS), 3)
+    return found.select("group_id", "key", "n", "label", "reference_text", F.array_join("texts", "|").alias("texts"), F.array_join("kinds", "|").alias("kinds"))
+
+
+_PROSE = f"SELECT pair_id, idx, CASE WHEN pair_id % 4 = 0 THEN 'paragraph' ELSE kind END AS kind, label, CASE pair_id % 16 WHEN 0 THEN concat(label, ' | ', value) WHEN 4 THEN concat(label, ' ', value) WHEN 8 THEN concat(label, ':') ELSE value END AS value FROM ({w.ITEMS_BASE}) p"
+
+
+def canonical_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.match_residue(w.frame(spark, sf_dir, _PROSE), w.frame(spark, sf_dir, w.ITEMS_BASE))
+
+
+def text_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.slice(clean_lines(F.col("text")), 1, 2**31 - 1).alias("old"))
+    changed = docs.select("doc_id", F.filter(F.transform("old", lambda x, i: F.when((i + F.col("doc_id")) % 7 == 3, F.upper(x)).otherwise(x)), lambda x, i: (i + F.col("doc_id")) % 11 != 5).alias("new"))
+    return text_diff.line_differences(docs.join(changed, "doc_id"), key="doc_id")
+
+
 _FORMS = {
     1: ("^([A-Za-z][^:|=]{0,79}?)[ \\t]*:[ \\t]*([^|]+)$",),
     2: ("^([A-Za-z][^:|=]{0,79}?)[ \\t]*=[ \\t]*([^|]+)$",),
@@ -188,7 +224,28 @@ _REF, _VER = w.oracle(w.CELLS_REF), w.oracle(w.CELLS_VER)
 _FILLED = f"(SELECT * FROM {_VER} WHERE {sql.trim('value')} <> '')"
 _ROWS = f"(SELECT *, sum(s) OVER (PARTITION BY doc ORDER BY ord)::INT AS row FROM (SELECT *, coalesce((abs(y - lag(y) OVER (PARTITION BY doc ORDER BY ord)) > 2.5)::INT, 0) AS s FROM {w.oracle(w.GLYPHS)}))"
 
+_CLEAN = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+t AS (SELECT doc_id, i, regexp_replace(x, '[ \\t\\r\\f\\v]+$', '') AS line FROM l),
+c AS (SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS line_no FROM t WHERE trim(line) <> '' AND NOT regexp_matches(trim(line), '^(word/|xl/|ppt/|_rels/|\\[Content_Types\\])')
+  AND NOT regexp_matches(trim(line), '^PK[\\x00-\\x03\\x05-\\x1f]') AND NOT (length(trim(line)) < 8 AND regexp_matches(line, '[\\x00-\\x08\\x0e-\\x1f]'))
+  AND NOT regexp_matches(trim(line), '^\\{?\\\\(rtf|ansi|deff|fonttbl|colortbl|stylesheet|info|pict|pard|par|tab|fs[0-9]|b|i|ul|cf[0-9]|highlight[0-9])'))
+"""
+_CLASS = """CASE WHEN regexp_matches(trim(line), '^[|\\-+:]+$') THEN 'separator' WHEN regexp_matches(trim(line), '^#{1,6} ') THEN 'heading' WHEN regexp_matches(trim(line), '^[-*\u2022] ') THEN 'list_item'
+  WHEN contains(line, '|') THEN 'pipe_row' WHEN regexp_matches(trim(line), '^[A-Za-z][^:|=]{0,79}[ \\t]*[:=][ \\t]*[^|]+$') THEN 'field' ELSE 'paragraph' END"""
+
 QUERIES = {
+    "artifact_filter": (artifact_filter, _CLEAN + "SELECT doc_id, line_no, line FROM c"),
+    "line_classify": (line_classify, _CLEAN + f"SELECT {_CLASS} AS line_class, count(*) AS n FROM (SELECT line FROM c UNION ALL SELECT line FROM {w.oracle(w.KV_LINES)}) GROUP BY 1"),
+    "field_nway": (
+        field_nway,
+        f"""WITH r AS (SELECT *, {sql.normalize_key('label')} AS key, row_number() OVER (PARTITION BY group_id, version, {sql.normalize_key('label')} ORDER BY ord)::INT AS n FROM {w.oracle(_VERSIONS)}),
+        g AS (SELECT group_id, key, n, arg_min(label, (version, ord)) AS label, coalesce(max(value) FILTER (WHERE version = 0), '') AS a, coalesce(max(value) FILTER (WHERE version = 1), '') AS b, coalesce(max(value) FILTER (WHERE version = 2), '') AS c FROM r GROUP BY 1, 2, 3)
+        SELECT group_id, key, n, label, a AS reference_text, b || '|' || c AS texts, (CASE WHEN b = a THEN 'unchanged' WHEN b = '' THEN 'removed' WHEN a = '' THEN 'added' ELSE 'changed' END) || '|' || (CASE WHEN c = a THEN 'unchanged' WHEN c = '' THEN 'removed' WHEN a = '' THEN 'added' ELSE 'changed' END) AS kinds
+        FROM g WHERE (a <> b OR a <> c) AND NOT (a = '' AND b = c AND b <> '')""",
+    ),
+    "canonical_residue": (canonical_residue, None),
+    "text_line_diff": (text_line_diff, None),
     "kv_extract": (kv_extract, f"SELECT pair_id, idx, {_form(1)} AS field, {_form(2)} AS value FROM {w.oracle(w.KV_LINES)}"),
     "dedup_items": (
         dedup_items,
