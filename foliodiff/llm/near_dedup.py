@@ -8,10 +8,12 @@ without words, empty and linked with nothing. Two documents are linked if 100 |A
    one node, so exact copies cost nothing later.
 2. BANDS groups of ROWS registers are hashed. At similarity 0.8, two sets share no band with probability
    (1 - 0.8^6)^40 < 6e-6; the tests measure the recall.
-3. Links are looked for in two rounds. First each node is paired with the leader (smallest node) that it shares most
-   bands with. Components of the links found so far are then taken, and of each band that still holds several components
-   all pairs across components are tried, save inside its largest component. So a group of near copies costs about one
-   pair a member, no group's pairs are all made, and no candidate is left out.
+3. A node's popularity is the number of band-mates that it has over all bands, and its hub the most popular of its
+   band-mates: in a group of near copies, what the others are copies of. Each node is first tried with its hub. Nodes
+   whose estimated similarity to a common hub is FAMILY or more are a family; members outside its largest component are
+   then tried with all members of other components, in blocks of BLOCK sets that are joined by their elements in place.
+   Last, of each band that still holds different components, all pairs that share neither component nor family are
+   tried, save inside the largest group. So no candidate is left out, and no group's pairs are ever rows.
 4. A pair is dropped if the sizes exclude the link, or if the likelihood estimate of its similarity from the joint
    register order (how many registers are greater, smaller, equal) is over five deviations below the threshold. What is
    left is verified on the full sets.
@@ -42,6 +44,7 @@ from .words import encode, hashes, mix, pieces
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
+FAMILY, BLOCK = 0.6, 1000
 #: SetSketch parameters: base and rate; registers are 16-bit.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SIMILARITY = 0.8
@@ -138,16 +141,13 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(v), pa.array(n)], ["band", "v", "n"])
 
 
-def _likely(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                j = likely_similarity(ra, rb, part.column("na").to_numpy().astype(float), part.column("nb").to_numpy().astype(float))
-                yield part.select(["a", "b"]).filter(pa.array(j >= least))
-
-    return run
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2000):
+            part = batch.slice(start, 2000)
+            ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            j = likely_similarity(ra, rb, part.column("na").to_numpy().astype(float), part.column("nb").to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "na", "nb")), pa.array(j)], ["a", "b", "na", "nb", "j"])
 
 
 def _sets(width: int):
@@ -181,6 +181,37 @@ def _verified(similarity: float):
     return run
 
 
+def _within(similarity: float):
+    """Of one block of a family's members and one of its strays: a link of each stray to each other component."""
+    percent = round(100 * similarity)
+
+    def run(group: pa.Table) -> pa.Table:
+        stray = np.array(group.column("stray").to_pylist(), bool)
+        v, c = group.column("v").to_numpy(), group.column("c").to_numpy()
+        sets = [_members(x) for x in group.column("members").to_pylist()]
+        own, other = np.flatnonzero(~stray), np.flatnonzero(stray)
+        found: list[tuple[int, int]] = []
+        if len(own) and len(other):
+            values = np.concatenate([sets[i] for i in own])
+            holder = np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])
+            order = np.argsort(values, kind="stable")
+            values, holder = values[order], holder[order]
+            size = np.array([len(sets[i]) for i in own])
+            for i in other:
+                x = sets[i]
+                low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(holder[at], minlength=len(own))
+                good = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (c[own] != c[i]))
+                _, first = np.unique(c[own][good], return_index=True)
+                found += [(int(v[i]), int(v[own[k]])) for k in good[first]]
+        a, b = (list(k) for k in zip(*found, strict=True)) if found else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, c): the smallest node that each linked node reaches. links has (a, b), each once or more."""
     both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -214,36 +245,68 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = stored(unique.mapInArrow(_numbered, "v long, g binary, id long, d1 long, d2 long, n long, reg binary"))
 
     bands = nodes.select("v", "n", "reg").mapInArrow(_banded, "band long, v long, n long")
-    shared = bands.groupBy("band").agg(F.min(F.struct("v", "n")).alias("lead"), F.max("v").alias("last")).filter("lead.v < last")
-    full = stored(bands.join(shared.select("band", "lead"), "band").select("band", "v", "n", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n")))
+    shared = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    full = stored(bands.join(shared, "band").select("band", "v", "n", "k"))
+    popularity = full.groupBy("v").agg(F.sum("k").alias("pop"))
+    lead = full.join(popularity, "v").groupBy("band").agg(F.max(F.struct("pop", (-F.col("v")).alias("minus"))).alias("lead"))
+    hubs = full.join(lead, "band").groupBy("v").agg((-F.max("lead")["minus"]).alias("hub"))
 
     involved = full.select("v").distinct().join(nodes.select("v", "d1", "d2"), "v")
     texts = keyed.select("d1", "d2", "text").join(involved, ["d1", "d2"])
     sets = stored(texts.select("v", "text").mapInArrow(_sets(width), "v long, members binary"))
-    deviation = math.sqrt(similarity * (1 - similarity) / REGISTERS)
+    least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of (a, b), the links."""
+    def likely(pairs: DataFrame) -> DataFrame:
+        """(a, b) with sizes na and nb and the likeliest similarity j."""
         reg = nodes.select("v", "n", "reg")
         wide = pairs.join(reg.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra")), "a").join(
             reg.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb")), "b"
         )
-        likely = wide.mapInArrow(_likely(similarity - 5 * deviation), "a long, b long")
-        whole = likely.join(sets.select(F.col("v").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("members").alias("sb")), "b")
+        return wide.mapInArrow(_likely, "a long, b long, na long, nb long, j double")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, na, nb, j), the links."""
+        some = pairs.filter((F.col("j") >= least) & _fits("na", "nb", similarity)).select("a", "b")
+        whole = some.join(sets.select(F.col("v").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("members").alias("sb")), "b")
         return stored(whole.mapInArrow(_verified(similarity), "a long, b long"))
 
-    led = full.filter((F.col("v") != F.col("lead")) & _fits("n", "lead_n", similarity)).groupBy("v", "lead").agg(F.count("*").alias("k"))
-    first = confirmed(led.groupBy("v").agg(F.max(F.struct("k", (-F.col("lead")).alias("lead")))["lead"].alias("a")).select((-F.col("a")).alias("a"), F.col("v").alias("b")))
+    near = stored(likely(hubs.filter("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b"))))
+    first = confirmed(near)
     grouped = components(first)
 
-    held = full.select("band", "v", "n").join(grouped, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    by_part = held.groupBy("band", "c").agg(F.count("*").alias("k"))
-    largest = by_part.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("big"), F.count("*").alias("parts")).filter("parts > 1").select("band", "big")
+    close = near.filter(F.col("j") >= FAMILY)
+    family = close.select(F.col("b").alias("v"), F.col("a").alias("f")).union(close.select(F.col("a").alias("v"), F.col("a").alias("f"))).distinct()
+    # a hub that has a hub of its own is in two families
+    placed = family.join(grouped, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    by_part = placed.groupBy("f", "c").agg(F.count("*").alias("k"))
+    spread = by_part.groupBy("f").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
+    spread = spread.select("f", F.col("top.c").alias("big"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("cols"))
+    inside = placed.join(spread, "f").join(sets, "v")
+    blocks = [F.pmod(F.xxhash64("v"), F.col(k)).cast("int") for k in ("rows", "cols")]
+    upto = [F.explode(F.sequence(F.lit(0), F.col(k) - 1)) for k in ("rows", "cols")]
+    keys = ["f", "v", "c", "members"]
+    members = inside.select(*keys, blocks[0].alias("i"), upto[1].alias("j")).withColumn("stray", F.lit(False))
+    strays = inside.filter("c <> big").select(*keys, upto[0].alias("i"), blocks[1].alias("j")).withColumn("stray", F.lit(True))
+    second = stored(members.unionByName(strays).groupBy("f", "i", "j").applyInArrow(_within(similarity), "a long, b long"))
+
+    joined = components(first.union(second))
+    own_family = family.groupBy("v").agg(F.min("f").alias("f"))
+    group = F.when(F.col("f").isNotNull(), F.col("f") * 2).otherwise(F.col("c") * 2 + 1)
+    held = full.select("band", "v", "n").join(joined, "v", "left").withColumn("c", F.coalesce("c", "v")).join(own_family, "v", "left").withColumn("p", group)
+    by_group = held.groupBy("band", "p").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high"))
+    largest = (
+        by_group.groupBy("band")
+        .agg(F.max(F.struct("k", "p"))["p"].alias("big"), F.count("*").alias("groups"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .filter("groups > 1 AND low < high")
+        .select("band", "big")
+    )
     open_bands = stored(held.join(largest, "band"))
-    rest = open_bands.filter("c <> big").select("band", F.col("v").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    across = rest.join(open_bands, "band").filter((F.col("c") != F.col("xc")) & ((F.col("c") == F.col("big")) | (F.col("x") < F.col("v"))) & _fits("n", "xn", similarity))
-    second = confirmed(across.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct())
-    final = components(first.union(second))
+    rest = open_bands.filter("p <> big").select("band", F.col("v").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("p").alias("xp"))
+    across = rest.join(open_bands, "band").filter(
+        (F.col("c") != F.col("xc")) & (F.col("p") != F.col("xp")) & ((F.col("p") == F.col("big")) | (F.col("x") < F.col("v"))) & _fits("n", "xn", similarity)
+    )
+    third = confirmed(likely(across.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct()))
+    final = components(first.union(second).union(third))
 
     part = nodes.select("v", "g", "id").join(final, "v", "left").withColumn("c", F.coalesce("c", "v"))
     smallest = part.groupBy("c").agg(F.min("id").alias("component_id"))
