@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, factorisation, line_dedup, near_dedup, packing, pitman_yor, quality_rules, quotes, substring_dedup, url_filter
+from . import decontaminate, factorisation, line_dedup, near_dedup, oracles, packing, pitman_yor, quality_rules, quotes, substring_dedup, url_filter
 from .common import table
 
 
@@ -83,5 +83,8 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op2_benchmark_decontamination": decontaminate.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op6_quality_rules": oracles.QUALITY_RULES,
+        "op7_minhash_near_dedup": oracles.NEAR_DEDUP,
+        "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
