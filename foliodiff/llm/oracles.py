@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as q
+from . import url_filter as u
 from .common import LOWER, UPPER
 
 _W = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
@@ -60,3 +61,38 @@ comp AS (SELECT v, min(c) AS c FROM reach GROUP BY v)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.c AS component_id, comp.c = d.doc_id AS kept
 FROM documents d JOIN comp ON comp.v = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) n ON n.doc_id = d.doc_id
 """
+
+
+def _url_filter() -> str:
+    n = u.N
+    host = f"translate(coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+    path = "coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '')"
+    whens = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for c, name, _ in whens) + " END"
+    said = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in whens) + " END"
+    smooth = "\n".join(
+        f"""n0{k} AS (SELECT c, sum({k}) AS n FROM counts GROUP BY c), z{k} AS (SELECT sum(n) AS t, count(*) FILTER (WHERE n > 0) AS u FROM n0{k}),
+n1{k} AS (SELECT h1, c, sum({k}) AS n FROM counts GROUP BY h1, c), t1{k} AS (SELECT h1, sum(n) AS t, count(*) FILTER (WHERE n > 0) AS u FROM n1{k} GROUP BY h1),
+t2{k} AS (SELECT h2, h1, sum({k}) AS t, count(*) FILTER (WHERE {k} > 0) AS u FROM counts GROUP BY h2, h1),
+p{k} AS (SELECT g.idx, (coalesce(x.{k}, 0) + (coalesce(t2{k}.u, 0) + 1) * ((coalesce(n1{k}.n, 0) + (coalesce(t1{k}.u, 0) + 1) * ((coalesce(n0{k}.n, 0) + coalesce(z{k}.u, 0) / {n} + 1 / {n}) / (coalesce(z{k}.t, 0) + coalesce(z{k}.u, 0) + 1)))
+    / (coalesce(t1{k}.t, 0) + coalesce(t1{k}.u, 0) + 1))) / (coalesce(t2{k}.t, 0) + coalesce(t2{k}.u, 0) + 1) AS p
+  FROM (SELECT DISTINCT idx, c, h1, h2 FROM gram) g CROSS JOIN z{k} LEFT JOIN counts x ON x.idx = g.idx LEFT JOIN n0{k} ON n0{k}.c = g.c LEFT JOIN n1{k} ON n1{k}.h1 = g.h1 AND n1{k}.c = g.c
+    LEFT JOIN t1{k} ON t1{k}.h1 = g.h1 LEFT JOIN t2{k} ON t2{k}.h2 = g.h2 AND t2{k}.h1 = g.h1),"""
+        for k in ("yes", "no")
+    )
+    return f"""
+WITH a AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
+b AS (SELECT *, {rule} AS rule, {said} AS said, NOT regexp_matches(host, '{"|".join(u.SEED_WORDS)}') AS ok, translate(host || path, '{UPPER}', '{LOWER}') AS t FROM a),
+coded AS (SELECT page_id, host, ok, length(t) AS size, [0, 0] || list_transform(list_filter(string_split(t, ''), lambda x: x <> ''), lambda x: instr('{u.ALPHABET}', x) % {n}) AS k FROM b),
+gram AS (SELECT page_id, host, ok, k[i - 2] AS h2, k[i - 1] AS h1, k[i] AS c, (k[i - 2] * {n} + k[i - 1]) * {n} + k[i] AS idx FROM (SELECT *, unnest(range(3, len(k) + 1)) AS i FROM coded)),
+counts AS (SELECT idx, h2, h1, c, count(*) FILTER (WHERE ok) AS yes, count(*) FILTER (WHERE NOT ok) AS no FROM gram WHERE host <> '' GROUP BY ALL),
+{smooth}
+score AS (SELECT page_id, sum(ln(pyes.p / pno.p)) AS s FROM gram JOIN pyes ON pyes.idx = gram.idx JOIN pno ON pno.idx = gram.idx GROUP BY page_id),
+v AS (SELECT coded.page_id, host, ok, coalesce(s, 0) / greatest(size, 1) AS s FROM coded LEFT JOIN score ON score.page_id = coded.page_id),
+m AS (SELECT avg(s) FILTER (WHERE ok) AS a, avg(s) FILTER (WHERE NOT ok) AS r, stddev_pop(s) FILTER (WHERE ok) AS sa, stddev_pop(s) FILTER (WHERE NOT ok) AS sr FROM v WHERE host <> ''),
+threshold AS (SELECT coalesce(CASE WHEN sa + sr > 0 THEN (a * sr + r * sa) / (sa + sr) ELSE (a + r) / 2 END, '-inf'::DOUBLE) AS h FROM m)
+SELECT b.page_id, b.host, b.path, rule, coalesce(said, CASE WHEN v.s < h THEN 'block' ELSE 'allow' END) AS verdict FROM b JOIN v ON v.page_id = b.page_id CROSS JOIN threshold
+"""
+
+
+URL_FILTER = _url_filter()

@@ -86,5 +86,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": oracles.QUALITY_RULES,
         "op7_minhash_near_dedup": oracles.NEAR_DEDUP,
         "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op10_url_filter": oracles.URL_FILTER,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
