@@ -46,3 +46,25 @@ def issue_rollup(found: DataFrame) -> DataFrame:
 
 def type_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("difference_type", "status").agg(F.count("*").alias("n"))
+
+
+def version_rows(groups: DataFrame, baselines: DataFrame) -> DataFrame:
+    """(dir, stem, version, file_name, role): V1.. in natural order; the baseline is the first version of the baseline's format."""
+    each = groups.select("dir", "stem", F.posexplode("comparable").alias("pos", "d")).select("dir", "stem", "pos", "d.file_name", "d.ext")
+    based = each.join(baselines, ["dir", "stem"])
+    first = based.filter(F.col("ext") == F.col("baseline")).groupBy("dir", "stem").agg(F.min("pos").alias("at"))
+    role = F.when(F.col("pos") == F.col("at"), "Baseline").otherwise("Compared")
+    return based.join(first, ["dir", "stem"]).select("dir", "stem", F.concat(F.lit("V"), (F.col("pos") + 1).cast("string")).alias("version"), "file_name", role.alias("role"))
+
+
+def usual_version_count(groups: DataFrame) -> DataFrame:
+    """(n_versions, n_groups): the most frequent number of comparable versions; of several, the one seen first by folder and name."""
+    counts = groups.select(F.size("comparable").alias("n_versions"), F.struct("dir", "stem").alias("at")).groupBy("n_versions").agg(F.count("*").alias("n_groups"), F.min("at").alias("at"))
+    return counts.orderBy(F.desc("n_groups"), "at").limit(1).select("n_versions", "n_groups")
+
+
+def run_stats(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of totals."""
+    files = docs.agg(F.count("*").alias("files"), F.sum((~F.col("failed")).cast("long")).alias("parsed"), F.sum(F.col("failed").cast("long")).alias("failed"), F.countDistinct("account").alias("accounts"))
+    some = groups.agg(F.count("*").alias("groups"), F.sum((F.size("comparable") >= 2).cast("long")).alias("comparable_groups"), F.sum(F.size("comparable")).alias("comparable_versions"))
+    return files.withColumn("one", F.lit(1)).join(some.withColumn("one", F.lit(1)), "one").drop("one")  # one row each

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliodiff.functions.lines import clean_lines, line_class
-from foliodiff.operators import fields, items, layout, report, residue, rules, sheets, text_diff
+from foliodiff.functions.text import equality_key
+from foliodiff.operators import fields, items, layout, report, residue, rules, sheets, tables, text_diff, tokens
+from foliodiff.sources.files import magic
 from foliodiff.plans import sql
 from foliodiff.plans import workloads as w
 
@@ -167,6 +169,45 @@ def text_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_diff.line_differences(docs.join(changed, "doc_id"), key="doc_id")
 
 
+_PIPES = f"""
+SELECT doc, CAST(r * 2 + CASE WHEN r > 4 THEN 1 ELSE 0 END - r AS INT) AS line_no, concat(max(CASE WHEN c = 0 THEN value END), ' | ', max(CASE WHEN c = 1 THEN value END),
+  CASE WHEN doc % 3 = 0 THEN '' WHEN r % 6 = 5 THEN '' ELSE concat(' | ', max(CASE WHEN c = 2 THEN value END)) END) AS line
+FROM ({w.CELLS_REF}) x GROUP BY doc, r
+"""
+
+
+def pipe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.pipe_blocks(w.frame(spark, sf_dir, _PIPES))
+    return found.groupBy("doc", "block").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_cols"), F.min("line_no").alias("first_line"))
+
+
+def pipe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.block_items(tables.pipe_blocks(w.frame(spark, sf_dir, _PIPES)))
+
+
+def token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = w.frame(spark, sf_dir, w.ITEMS_BASE).select("pair_id", "idx", F.concat_ws(": ", "label", "value").alias("value"))
+    comp = w.frame(spark, sf_dir, w.ITEMS_COMP).select("pair_id", "idx", F.concat_ws(" | ", "value", "label").alias("value"))
+    return tokens.match_by_tokens(base, comp)
+
+
+def aggregated_cells_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = w.frame(spark, sf_dir, w.ITEMS_BASE).groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "label", "value"))), "; ").alias("prose"))
+    comp = w.frame(spark, sf_dir, w.ITEMS_COMP).groupBy("pair_id").agg(F.collect_list(F.concat_ws(" ", "label", "value")).alias("cells"))
+    return base.join(comp, "pair_id").select("pair_id", tokens.gathers(F.col("prose"), F.col("cells")).alias("gathers"))
+
+
+def value_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, comp = (w.frame(spark, sf_dir, x).groupBy("pair_id", equality_key(F.col("value")).alias("eq")).agg(F.count("*").alias("n")) for x in (w.ITEMS_BASE, w.ITEMS_COMP))
+    return base.join(comp.withColumnRenamed("n", "m"), ["pair_id", "eq"]).select("pair_id", "eq", F.least("n", "m").alias("n_pairs"))
+
+
+def magic_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    head = F.when(F.col("doc_id") % 4 == 0, "%PDF-1.7 ").when(F.col("doc_id") % 4 == 1, "{\\rtf1 ").when(F.col("doc_id") % 8 == 2, F.concat(F.lit("PK"), F.char(F.lit(3)))).otherwise("")
+    return docs.select("doc_id", magic(F.concat(head, "text").cast("binary")).alias("detected"))
+
+
 _FORMS = {
     1: ("^([A-Za-z][^:|=]{0,79}?)[ \\t]*:[ \\t]*([^|]+)$",),
     2: ("^([A-Za-z][^:|=]{0,79}?)[ \\t]*=[ \\t]*([^|]+)$",),
@@ -234,6 +275,14 @@ c AS (SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY i) -
 _CLASS = """CASE WHEN regexp_matches(trim(line), '^[|\\-+:]+$') THEN 'separator' WHEN regexp_matches(trim(line), '^#{1,6} ') THEN 'heading' WHEN regexp_matches(trim(line), '^[-*\u2022] ') THEN 'list_item'
   WHEN contains(line, '|') THEN 'pipe_row' WHEN regexp_matches(trim(line), '^[A-Za-z][^:|=]{0,79}[ \\t]*[:=][ \\t]*[^|]+$') THEN 'field' ELSE 'paragraph' END"""
 
+_BLOCKS = f"""
+WITH p AS (SELECT doc, line_no, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM {w.oracle(_PIPES)}),
+f AS (SELECT * FROM p WHERE len(cells) >= 2 AND NOT contains(cells[1], ':')),
+m AS (SELECT *, coalesce((line_no <> lag(line_no) OVER o + 1 OR len(cells) <> lag(len(cells)) OVER o)::INT, 1) AS fresh FROM f WINDOW o AS (PARTITION BY doc ORDER BY line_no)),
+k AS (SELECT doc, line_no, cells, (sum(fresh) OVER (PARTITION BY doc ORDER BY line_no))::BIGINT AS block FROM m),
+b AS (SELECT *, (row_number() OVER (PARTITION BY doc, block ORDER BY line_no) - 1)::INT AS r FROM k)
+"""
+
 QUERIES = {
     "artifact_filter": (artifact_filter, _CLEAN + "SELECT doc_id, line_no, line FROM c"),
     "line_classify": (line_classify, _CLEAN + f"SELECT {_CLASS} AS line_class, count(*) AS n FROM (SELECT line FROM c UNION ALL SELECT line FROM {w.oracle(w.KV_LINES)}) GROUP BY 1"),
@@ -244,6 +293,32 @@ QUERIES = {
         SELECT group_id, key, n, label, a AS reference_text, b || '|' || c AS texts, (CASE WHEN b = a THEN 'unchanged' WHEN b = '' THEN 'removed' WHEN a = '' THEN 'added' ELSE 'changed' END) || '|' || (CASE WHEN c = a THEN 'unchanged' WHEN c = '' THEN 'removed' WHEN a = '' THEN 'added' ELSE 'changed' END) AS kinds
         FROM g WHERE (a <> b OR a <> c) AND NOT (a = '' AND b = c AND b <> '')""",
     ),
+    "pipe_blocks": (pipe_blocks, _BLOCKS + "SELECT doc, block, count(*) AS n_rows, max(len(cells))::INT AS n_cols, min(line_no) AS first_line FROM b GROUP BY 1, 2"),
+    "pipe_items": (
+        pipe_items,
+        _BLOCKS
+        + f""", h AS (SELECT doc, block, arg_min(cells, r) AS head, count(*) AS n FROM b GROUP BY 1, 2),
+        hh AS (SELECT *, n >= 2 AND list_bool_and(list_transform(head, lambda x: regexp_matches(x, '^[A-Za-z]') AND NOT {sql.is_numeric('x')} AND length(x) <= CASE WHEN len(head) = 2 THEN 12 ELSE 50 END)) AS headed FROM h),
+        e AS (SELECT b.doc, b.block, r, headed, head, cells, unnest(cells) AS value, generate_subscripts(cells, 1) - 1 AS c FROM b JOIN hh USING (doc, block))
+        SELECT doc, block, r, c::INT AS c, {sql.normalize_key('head[c + 1]')} AS key, value FROM e WHERE headed AND r > 0
+        UNION ALL SELECT doc, block, r, c::INT, {sql.normalize_key('cells[c]')}, value FROM e WHERE NOT headed AND c % 2 = 1""",
+    ),
+    "token_match": (
+        token_match,
+        f"""WITH b AS (SELECT pair_id, idx, k, row_number() OVER (PARTITION BY pair_id, k ORDER BY idx) AS n FROM (SELECT *, {sql.token_key("label || ': ' || value")} AS k FROM {_BASE})),
+        c AS (SELECT pair_id, idx, k, row_number() OVER (PARTITION BY pair_id, k ORDER BY idx) AS n FROM (SELECT *, {sql.token_key("value || ' | ' || label")} AS k FROM {_COMP}))
+        SELECT b.pair_id, b.idx AS base_idx, c.idx AS comp_idx FROM b JOIN c ON b.pair_id = c.pair_id AND b.k = c.k AND b.n = c.n WHERE len(b.k) > 0""",
+    ),
+    "aggregated_cells_match": (
+        aggregated_cells_match,
+        f"""WITH b AS (SELECT pair_id, {sql.token_key("string_agg(label || ' ' || value, '; ')")} AS p FROM {_BASE} GROUP BY pair_id), c AS (SELECT pair_id, list_distinct({sql.token_key("string_agg(label || ' ' || value, ' ')")}) AS s FROM {_COMP} GROUP BY pair_id)
+        SELECT pair_id, len(list_filter(p, lambda x: NOT list_contains(s, x))) = 0 AND len(p) BETWEEN len(s) AND 2 * len(s) AND len(p) > 0 AS gathers FROM b JOIN c USING (pair_id)""",
+    ),
+    "value_classes": (
+        value_classes,
+        f"SELECT pair_id, eq, least(n, m) AS n_pairs FROM (SELECT pair_id, {sql.equality_key('value')} AS eq, count(*) AS n FROM {_BASE} GROUP BY 1, 2) JOIN (SELECT pair_id, {sql.equality_key('value')} AS eq, count(*) AS m FROM {_COMP} GROUP BY 1, 2) USING (pair_id, eq)",
+    ),
+    "magic_bytes": (magic_bytes, "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pdf' WHEN doc_id % 4 = 1 THEN 'rtf' WHEN doc_id % 8 = 2 THEN 'zip' END AS detected FROM documents"),
     "canonical_residue": (canonical_residue, None),
     "text_line_diff": (text_line_diff, None),
     "kv_extract": (kv_extract, f"SELECT pair_id, idx, {_form(1)} AS field, {_form(2)} AS value FROM {w.oracle(w.KV_LINES)}"),

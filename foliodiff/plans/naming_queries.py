@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliodiff.functions import names
 from foliodiff.operators import grouping as g
+from foliodiff.operators import report
 from foliodiff.plans import workloads as w
 
 
@@ -58,6 +59,20 @@ def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison_chain(spark, sf_dir).groupBy("baseline_format", "comparing_format").agg(F.count("*").alias("n_pairs"))
 
 
+def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = g.group_documents(_docs(spark, sf_dir))
+    return report.version_rows(groups, g.default_baseline(groups))
+
+
+def versions_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.usual_version_count(g.group_documents(_docs(spark, sf_dir)))
+
+
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("account", names.hierarchy(F.col("dir"), 1)["account"])
+    return report.run_stats(docs, g.group_documents(docs))
+
+
 _M = w.oracle(w.MANIFEST)
 _FILE = "string_split(path, '/')[-1]"
 _EXT = "lower(regexp_extract(path, '\\.([^.]+)$', 1))"
@@ -90,6 +105,24 @@ pairs AS (SELECT b1.dir, b1.s AS stem, ord::INT AS ord, x AS baseline_format, y
 )
 
 QUERIES = {
+    "version_rows": (
+        version_rows,
+        _GROUPS
+        + f""", c AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY dir, s ORDER BY pos) AS n FROM ordered WHERE NOT failed), first AS (SELECT dir, s, arg_min(ext, {_RANK}) AS baseline FROM c GROUP BY dir, s),
+        f AS (SELECT c.dir, c.s, min(n) AS at_n FROM c JOIN first ON first.dir = c.dir AND first.s = c.s AND first.baseline = c.ext GROUP BY 1, 2)
+        SELECT c.dir, c.s AS stem, 'V' || n AS version, file_name, CASE WHEN n = at_n THEN 'Baseline' ELSE 'Compared' END AS role FROM c JOIN f ON f.dir = c.dir AND f.s = c.s""",
+    ),
+    "versions_mode": (
+        versions_mode,
+        _GROUPS + ", c AS (SELECT dir, s, count(*) FILTER (WHERE NOT failed)::INT AS n FROM ordered GROUP BY 1, 2) SELECT n AS n_versions, count(*) AS n_groups FROM c GROUP BY n ORDER BY count(*) DESC, min((dir, s)) LIMIT 1",
+    ),
+    "run_stats": (
+        run_stats,
+        _GROUPS
+        + """, c AS (SELECT dir, s, count(*) FILTER (WHERE NOT failed) AS n FROM ordered GROUP BY 1, 2)
+        SELECT * FROM (SELECT count(*) AS files, (count(*) FILTER (WHERE NOT failed)) AS parsed, (count(*) FILTER (WHERE failed)) AS failed, count(DISTINCT string_split(dir, '/')[1]) AS accounts FROM docs),
+        (SELECT count(*) AS groups, (count(*) FILTER (WHERE n >= 2)) AS comparable_groups, sum(n)::BIGINT AS comparable_versions FROM c)""",
+    ),
     "scan_manifest_filter": (scan_manifest_filter, f"SELECT doc_id, {_EXT} AS ext FROM {_M} WHERE {_EXT} IN ({_KINDS})"),
     "path_parts": (path_parts, f"SELECT doc_id, {_DIR} AS dir, {_FILE} AS file_name, path || '::' || size::VARCHAR AS id FROM {_M}"),
     "split_version": (split_version, f"WITH {_SPLIT} SELECT doc_id, stem, version_tag FROM v"),

@@ -134,3 +134,52 @@ def test_edit_scripts():
 def test_line_differences(spark):
     pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["n"])], "pair_id long, old array<string>, new array<string>")
     assert rows(text_diff.line_differences(pairs), "pair_id", "op", "line", "text") == [(1, "+", 2, "x"), (1, "+", 3, "d"), (1, "-", 2, "b"), (2, "+", 0, "n")]
+
+
+def test_pipe_tables(spark):
+    from foliodiff.operators import tables
+
+    text = ["Field | Value | Note", "Region | South | x", "plain", "Account: 1 | y", "North | 12", "South | 13"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "doc long, line_no int, line string")
+    blocks = tables.pipe_blocks(lines)
+    assert rows(blocks.groupBy("block").count(), "block", "count") == [(1, 2), (2, 2)]
+    assert rows(tables.block_items(blocks), "block", "key", "value") == [(1, "field", "Region"), (1, "note", "x"), (1, "value", "South"), (2, "north", "12"), (2, "south", "13")]
+
+
+def test_tokens(spark):
+    from foliodiff.operators import tokens
+
+    assert spark.range(1).select(tokens.gathers(F.lit("Account: 1000, Region South"), F.array(F.lit("account 1000"), F.lit("Region | South"))).alias("x")).head()["x"]
+    assert not spark.range(1).select(tokens.gathers(F.lit("Account 1000 extra"), F.array(F.lit("account 1000"))).alias("x")).head()["x"]
+
+
+def test_report_and_workbooks(spark):
+    from foliodiff.operators import report
+    from foliodiff.sinks import workbook
+    from foliodiff.sources.office import xlsx_cells
+
+    diffs = spark.createDataFrame([("a", "p", "r", k, None if i % 2 else "global", "<x>", "o", "n", "d") for i, k in enumerate(("missing_content", "value_mismatch", "odd"))],
+        "account string, package_name string, report string, difference_type string, ignored_scope string, location_label string, reference_text string, version_text string, description string")
+    found = report.issues(diffs)
+    assert rows(found, "code", "severity", "status") == [("MISSING_CONTENT", "High", "Ignored"), ("ODD", "Medium", "Ignored"), ("VALUE_MISMATCH", "Medium", "Reported")]
+    assert rows(report.issue_rollup(found), "account", "n_issues") == [("(all)", 1), ("a", 1), ("a", 1), ("a", 1)]
+    (book,) = workbook.workbooks(found).collect()
+    cells = xlsx_cells(bytes(book.content))
+    assert book.n_issues == 3 and {c[1] for c in cells} == {"Executive Summary", "Reported Issues"} and any(c[4] == "<x>" for c in cells)
+    assert workbook.workbooks(found, rows=1).count() > 1
+    assert "&lt;x&gt;" in workbook.page_rows(found).head()["html"]
+
+
+def test_arrivals(spark, tmp_path):
+    from foliodiff.streaming.arrivals import arrivals
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.csv").write_bytes(b"a,b\n")
+    query = arrivals(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        (tmp_path / "in" / "s.rtf").write_bytes(b"{\\rtf1 Hi}")
+        query.processAllAvailable()
+        assert sorted(r.content_type for r in spark.table("arrived").collect()) == ["sheet", "text"]
+    finally:
+        query.stop()
