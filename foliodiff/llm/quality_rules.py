@@ -45,7 +45,8 @@ RULES: tuple[Rule, ...] = (
     Rule("length", "n_words", 10, None),
     Rule("word_length", "try_divide(word_chars, n_words)", 1.5, 15.0),
     Rule("symbols", "try_divide(n_symbols, n_words)", None, 0.3),
-    Rule("stop_words", "try_divide(n_stop_words, n_words)", 0.02, None),
+    # a short text may do without function words
+    Rule("stop_words", "CASE WHEN n_words >= 100 THEN try_divide(n_stop_words, n_words) END", 0.02, None),
     Rule("duplicate_lines", "try_divide(n_dup_lines, n_lines)", None, 0.5),
     Rule("repeated_words", "try_divide(n_repeat_words, n_words)", None, 0.2),
     Rule("upper_case", "try_divide(n_upper, word_chars)", None, 0.5),
