@@ -96,3 +96,29 @@ SELECT b.page_id, b.host, b.path, rule, coalesce(said, CASE WHEN v.s < h THEN 'b
 
 
 URL_FILTER = _url_filter()
+
+_NORMAL = r"trim(regexp_replace(lower({x}), '[ \t\n\v\f\r]+', ' ', 'g'))"
+_QUOTE = r"'^[ \t]*>[> \t]*'"
+_UNITS = "list_filter(list_distinct([{whole}] || list_transform({lines}, lambda x: {one})), lambda x: length(x) > 0)"
+
+QUOTATION_LINKING = f"""
+WITH RECURSIVE msg AS (SELECT row_number() OVER () AS m, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+split AS (SELECT m, conv_id, turn, unnest(string_split_regex(t, '\\r?\\n')) AS x, generate_subscripts(string_split_regex(t, '\\r?\\n'), 1) AS i FROM msg),
+line AS (SELECT m, conv_id, turn, i, length(regexp_replace(regexp_extract(x, {_QUOTE}), '[^>]', '', 'g')) AS level, regexp_replace(x, {_QUOTE}, '') AS x FROM split),
+mark AS (SELECT *, level = 0 AND NOT (regexp_matches(x, '(?i)(wrote|schrieb|a écrit|escribió)\\s*:\\s*$') AND coalesce(lead(level) OVER o, 0) > 0) AS own, (level <> coalesce(lag(level) OVER o, -1))::INT AS fresh FROM line WINDOW o AS (PARTITION BY m ORDER BY i)),
+body AS (SELECT m, any_value(conv_id) AS conv_id, any_value(turn) AS turn, regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE own), ''), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') AS body FROM mark GROUP BY m),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY m ORDER BY i) AS run FROM mark),
+passage AS (SELECT m, conv_id, turn, run, min(level) AS level, list(x ORDER BY i) AS ls FROM run WHERE level > 0 GROUP BY m, conv_id, turn, run HAVING bool_or({_NORMAL.format(x='x')} <> '')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY run) AS p, array_to_string(ls, chr(10)) AS whole FROM passage),
+counted AS (SELECT m, count(*) AS n_quotes, max(level) AS max_level FROM numbered GROUP BY m),
+original AS (SELECT conv_id, unit, min(turn) AS original FROM (SELECT conv_id, turn, unnest({_UNITS.format(whole=_NORMAL.format(x='body'), lines="string_split(body, chr(10))", one=_NORMAL.format(x='x'))}) AS unit FROM body WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY 1, 2),
+unit AS (SELECT conv_id, turn, p, whole, level, unnest({_UNITS.format(whole=_NORMAL.format(x='whole'), lines='ls', one=_NORMAL.format(x='x'))}) AS unit FROM numbered WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+weighed AS (SELECT u.conv_id, u.turn, p, whole, level, CASE WHEN original < u.turn THEN original END AS original, sum(length(u.unit)) AS weight FROM unit u LEFT JOIN original o ON o.conv_id = u.conv_id AND o.unit = u.unit GROUP BY ALL),
+link AS (SELECT conv_id, turn, p, whole, level, arg_max(original, (weight, original)) FILTER (WHERE original IS NOT NULL) AS original FROM weighed GROUP BY ALL),
+reply AS (SELECT conv_id, turn, arg_max(original, (-level, original)) FILTER (WHERE original IS NOT NULL) AS parent_turn, count(original) AS n_linked FROM link GROUP BY 1, 2),
+up(conv_id, turn, at_turn, depth) AS (SELECT conv_id, turn, parent_turn, 1 FROM reply WHERE parent_turn IS NOT NULL UNION ALL SELECT up.conv_id, up.turn, r.parent_turn, depth + 1 FROM up JOIN reply r ON r.conv_id = up.conv_id AND r.turn = up.at_turn WHERE r.parent_turn IS NOT NULL),
+top AS (SELECT conv_id, turn, arg_max(at_turn, depth) AS thread_turn, max(depth) AS depth FROM up GROUP BY 1, 2)
+SELECT msg.conv_id, msg.turn, role, CASE WHEN r.parent_turn IS NOT NULL THEN r.parent_turn END AS parent_turn, coalesce(top.thread_turn, msg.turn) AS thread_turn, coalesce(top.depth, 0)::BIGINT AS depth,
+  coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(CASE WHEN r.parent_turn IS NOT NULL THEN r.n_linked END, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::BIGINT AS max_level, sha256(body) AS body_sha256
+FROM msg JOIN body ON body.m = msg.m LEFT JOIN counted c ON c.m = msg.m LEFT JOIN reply r ON r.conv_id = msg.conv_id AND r.turn = msg.turn LEFT JOIN top ON top.conv_id = msg.conv_id AND top.turn = msg.turn
+"""

@@ -81,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {
+        "op1_quotation_linking": oracles.QUOTATION_LINKING,
         "op2_benchmark_decontamination": decontaminate.SQL,
         "op5_line_dedup": line_dedup.SQL,
         "op6_quality_rules": oracles.QUALITY_RULES,

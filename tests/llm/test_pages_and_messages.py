@@ -51,6 +51,30 @@ def test_quotes(spark):
     assert quotes.conversations(got.select("conv_id", "turn", "role", F.col("body").alias("text")).limit(0)).count() == 0
 
 
+def test_quotes_match_their_sql(spark):
+    import random
+
+    import duckdb
+
+    from foliodiff.llm import oracles
+
+    rng = random.Random(4)
+    said, rows = [f"line {k} of text" for k in range(12)], []
+    for conv in range(40):
+        for turn in range(rng.randrange(1, 9)):
+            lines = [f"{rng.choice(['', '> ', '> > ', '>>>'])}{rng.choice(said)}{rng.choice(['', '  ', ' X'])}" for _ in range(rng.randrange(6))]
+            rows.append((conv, turn, "u", rng.choice(["", "A B wrote:\n"]) + "\n".join(lines)))
+    rows += rows[:3] + [(None, 1, "u", "> line 1 of text"), (1, None, "u", None)]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("body_sha256", F.sha2("body", 256)).drop("body")
+    db = duckdb.connect()
+    db.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    columns = sorted(got.columns)
+    want = db.sql(f"SELECT {', '.join(columns)} FROM ({oracles.QUOTATION_LINKING})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want))
+    assert sum(r[columns.index("n_linked")] > 0 for r in want) > 10
+
+
 def test_long_thread(spark):
     rows = [(7, 0, "u", "message number 0")] + [(7, i, "u", f"> message number {i - 1}\nmessage number {i}") for i in range(1, 40)]
     got = {r.turn: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
