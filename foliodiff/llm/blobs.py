@@ -13,6 +13,7 @@ again: a scan of files or tables does, and so does a sorted input.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
 
 import numpy as np
@@ -35,6 +36,15 @@ def doc_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def release() -> None:
+    """Gives freed memory back: Python workers live on between tasks, and share their executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode() + b"\n"
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
