@@ -10,7 +10,7 @@ without words, empty and linked with nothing. Two documents are linked if 100 |A
    (1 - 0.8^6)^40 < 6e-6; the tests measure the recall.
 3. A node's popularity is the number of band-mates that it has over all bands, and its hub the most popular of its
    band-mates: in a group of near copies, what the others are copies of. Each node is first tried with its hub. Nodes
-   whose estimated similarity to a common hub is FAMILY or more are a family; members outside its largest component are
+   whose estimated similarity to a common hub is `family` or more are a family (longer shingles want a lower one); members outside its largest component are
    then tried with all members of other components, in blocks of BLOCK sets that are joined by their elements in place.
    Last, of each band that still holds different components, all pairs that share neither component nor family are
    tried, save inside the largest group. So no candidate is left out, and no group's pairs are ever rows.
@@ -44,7 +44,7 @@ from .words import encode, hashes, mix, pieces
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
-FAMILY, BLOCK = 0.6, 1000
+BLOCK = 1000
 #: SetSketch parameters: base and rate; registers are 16-bit.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SIMILARITY = 0.8
@@ -231,8 +231,8 @@ def _fits(a: str, b: str, similarity: float):
     return F.least(a, b) * 100 >= F.greatest(a, b) * round(100 * similarity)
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: float = SIMILARITY) -> DataFrame:
-    """(d1, d2, n_shingles, component_id, kept) for each row of docs."""
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: float = SIMILARITY, family: float = 0.6) -> DataFrame:
+    """(id, d1, d2, n_shingles, component_id, kept) for each row of docs."""
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     keyed = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), d1.alias("d1"), d2.alias("d2"), F.col(f"`{text}`").alias("text"))
     sketches = stored(keyed.mapInArrow(_sketches(width), "id long, d1 long, d2 long, n long, g binary, reg binary"))
@@ -274,10 +274,10 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = confirmed(near)
     grouped = components(first)
 
-    close = near.filter(F.col("j") >= FAMILY)
-    family = close.select(F.col("b").alias("v"), F.col("a").alias("f")).union(close.select(F.col("a").alias("v"), F.col("a").alias("f"))).distinct()
+    close = near.filter(F.col("j") >= family)
+    families = close.select(F.col("b").alias("v"), F.col("a").alias("f")).union(close.select(F.col("a").alias("v"), F.col("a").alias("f"))).distinct()
     # a hub that has a hub of its own is in two families
-    placed = family.join(grouped, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    placed = families.join(grouped, "v", "left").withColumn("c", F.coalesce("c", "v"))
     by_part = placed.groupBy("f", "c").agg(F.count("*").alias("k"))
     spread = by_part.groupBy("f").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
     spread = spread.select("f", F.col("top.c").alias("big"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("cols"))
@@ -290,7 +290,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     second = stored(members.unionByName(strays).groupBy("f", "i", "j").applyInArrow(_within(similarity), "a long, b long"))
 
     joined = components(first.union(second))
-    own_family = family.groupBy("v").agg(F.min("f").alias("f"))
+    own_family = families.groupBy("v").agg(F.min("f").alias("f"))
     group = F.when(F.col("f").isNotNull(), F.col("f") * 2).otherwise(F.col("c") * 2 + 1)
     held = full.select("band", "v", "n").join(joined, "v", "left").withColumn("c", F.coalesce("c", "v")).join(own_family, "v", "left").withColumn("p", group)
     by_group = held.groupBy("band", "p").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -318,8 +318,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY, family: float = 0.4) -> DataFrame:
     """The rows of docs that are kept: of each component the document of smallest id."""
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    kept = link_components(docs, doc_id, text, width, similarity).filter("kept").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).distinct()
+    kept = link_components(docs, doc_id, text, width, similarity, family).filter("kept").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).distinct()
     return docs.withColumns({"_d1": d1, "_d2": d2}).join(kept, ["_d1", "_d2"], "left_semi").drop("_d1", "_d2")
