@@ -61,6 +61,16 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(other, ["doc_id", "lang"]).select("doc_id", F.array_join(flat, "\n").alias("diff"))
 
 
+def word_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, white space as it stands; line feeds and backslashes within a segment are escaped."""
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", F.col("text").alias("a"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang"), F.col("a").alias("b"))
+    mark = lambda s: F.when(s["added"], "+").when(s["removed"], "-").otherwise("=")
+    text = lambda s: F.replace(F.replace(s["value"], F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    flat = F.transform(t.word_diff(F.col("a"), F.col("b")), lambda s: F.concat(mark(s), text(s)))
+    return docs.join(other, ["doc_id", "lang"]).select("doc_id", F.array_join(flat, "\n").alias("diff"))
+
+
 _WORDS = "regexp_extract_all({x}, '[^ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+')"
 _ONE = "trim(" + sql.sub("text", r"[ \t\n\r\f\v]+", " ") + ")"
 _LINE = "CASE WHEN length({x}) > {n} THEN left({x}, {n}) || '…' ELSE {x} END"
@@ -88,6 +98,17 @@ p AS (SELECT d.doc_id, {_WORDS.format(x='d.a')} AS x, {_WORDS.format(x='e.a')} A
 q AS (SELECT doc_id, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i, x, y FROM p),
 s AS (SELECT doc_id, i, CASE WHEN x[i] = y[i] THEN '=' || x[i] WHEN x[i] IS NULL THEN '+' || y[i] WHEN y[i] IS NULL THEN '-' || x[i] ELSE '-' || x[i] || chr(10) || '+' || y[i] END AS part FROM q)
 SELECT doc_id, string_agg(part, chr(10) ORDER BY i) AS diff FROM s GROUP BY doc_id
+""",
+    ),
+    "word_diff_whole": (
+        word_diff_whole,
+        f"""
+WITH p AS (SELECT d.doc_id, {_WORDS.format(x='d.text')} AS x, {_WORDS.format(x='e.text')} AS y FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 AND e.lang = d.lang),
+q AS (SELECT doc_id, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i, unnest(x) AS u, unnest(y) AS v FROM p),
+r AS (SELECT doc_id, i, replace(replace(u, chr(92), repeat(chr(92), 2)), chr(10), chr(92) || 'n') AS u, replace(replace(v, chr(92), repeat(chr(92), 2)), chr(10), chr(92) || 'n') AS v FROM q),
+s AS (SELECT doc_id, i, CASE WHEN u = v THEN '=' || u WHEN u IS NULL THEN '+' || v WHEN v IS NULL THEN '-' || u ELSE '-' || u || chr(10) || '+' || v END AS part FROM r),
+g AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY i) AS diff FROM s GROUP BY doc_id)
+SELECT p.doc_id, coalesce(diff, '') AS diff FROM p LEFT JOIN g ON g.doc_id = p.doc_id
 """,
     ),
 }
