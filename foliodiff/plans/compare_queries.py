@@ -66,6 +66,14 @@ def sheet_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.align_sheets(w.frame(spark, sf_dir, _NAMED), w.frame(spark, sf_dir, _OTHER))
 
 
+#: The same relations with every customer as a document.
+_NAMED_ALL, _OTHER_ALL = (x.replace("o_custkey % 200", "o_custkey") for x in (_NAMED, _OTHER))
+
+
+def sheet_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.align_sheets(w.frame(spark, sf_dir, _NAMED_ALL), w.frame(spark, sf_dir, _OTHER_ALL))
+
+
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference records with the hierarchy of their customer: nation, segment, report."""
     place = w.frame(spark, sf_dir, _PLACE)
@@ -386,3 +394,4 @@ QUERIES = {
         n AS (SELECT g.doc, g.ord, arg_min(col, (abs(x - x0), col)) AS col, min(abs(x - x0)) AS far FROM g JOIN c ON c.doc = g.doc GROUP BY 1, 2) SELECT doc, ord, CASE WHEN far <= 20 THEN col ELSE -1 END AS col FROM n""",
     ),
 }
+QUERIES["sheet_align_all"] = (sheet_align_all, QUERIES["sheet_align"][1].replace("o_custkey % 200", "o_custkey"))
