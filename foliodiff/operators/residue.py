@@ -1,6 +1,7 @@
-"""Rows that keys left unmatched: prose against fields, one-to-one, greedily in document order.
+"""Rows that keys left unmatched: prose against fields, greedily in document order.
 
-The rules are a table: each phase takes what is left of both sides and a test, and the first partner that passes is taken.
+The rules are a table: each phase takes what is left of both sides and a test, and the first partner that passes is taken,
+one-to-one but for baseline prose with pipes, whose parts may claim a field each in the phase prose_says_field.
 Values were compared by key before (match_by_key), so a pair's residue is small; it is gathered per pair, which is one
 pair of documents.
 """
@@ -37,6 +38,18 @@ def _said(prose: Row, field: Row) -> bool:
     return "|" not in prose["value"] and len(prose["low"]) <= LONGEST and (prose["low"] == field["low"] or _names(prose, field))
 
 
+def _stated(prose: Row, fields: list[Row]) -> list[Row]:
+    """The fields that the parts between pipes state: each part claims the first unclaimed one that it equals, or whose key and value it holds."""
+    claimed: list[Row] = []
+    for part in filter(None, (p.strip() for p in prose["low"].split("|"))):
+        for field in fields:
+            low, key = field["low"], field["key"]
+            if all(field is not c for c in claimed) and (part == low or (low and key and low in part and key in part)):
+                claimed.append(field)
+                break
+    return claimed
+
+
 def _labelled(prose: Row, field: Row) -> bool:
     return bool(re.search("[A-Za-z]:\\s*$", prose["value"])) and _key(prose["value"]) == field["key"]
 
@@ -80,6 +93,12 @@ def match_lists(base: list[Row], comp: list[Row]) -> list[tuple[str, int, int, b
     found, left, right = [], list(base), list(comp)
     for phase, own, other, test, same in PHASES:
         for b in [x for x in left if own is None or x["kind"] in own]:
+            if phase == "prose_says_field" and "|" in b["value"]:
+                if claimed := _stated(b, [c for c in right if c["kind"] in other]):
+                    found += [("pipe_parts_say_fields", b["idx"], c["idx"], True) for c in claimed]
+                    left.remove(b)
+                    right = [c for c in right if all(c is not x for x in claimed)]
+                continue
             for c in right:
                 if other is not None and c["kind"] not in other:
                     continue
