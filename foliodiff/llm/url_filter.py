@@ -9,6 +9,9 @@ Characters fold to an alphabet of 40 symbols, so a model is a table of 40^3 numb
 aggregation on Spark, read by the driver at that fixed size, and folded into the scoring expression as one array
 literal (higher-order functions take no subqueries). Scoring is one scan with built-in expressions.
 
+The models learn from and score host and path only, as the SQL does. Query and fragment (from `?` or `#` on) are left out, so
+a URL that no rule meets and whose bad part lies there is judged by the rest of it.
+
 A null URL, or one without `://`, has an empty host and path, and is judged as an empty text, whose score is 0. If one
 class has no labelled URL, everything is allowed that no rule blocks. Repeated rows give repeated results. Columns of
 the input named as a result are replaced by it.
