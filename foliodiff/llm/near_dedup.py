@@ -7,14 +7,15 @@ without words, empty and linked with nothing. Two documents are linked if 100 |A
    shingles; the minima are mergeable by maximum and locality-sensitive. Documents of equal sets (a 128-bit digest) become
    one node, so exact copies cost nothing later.
 2. BANDS groups of ROWS registers are hashed. At similarity 0.8, two sets share no band with probability
-   (1 - 0.8^6)^40 < 6e-6; the tests measure the recall.
+   (1 - 0.8^6)^40 < 6e-6; tests/llm/test_near_dedup.py measures the recall of links against an exact join.
 3. A node's popularity is the number of band-mates that it has over all bands, and its hub the most popular of its
    band-mates: in a group of near copies, what the others are copies of. Each node is first tried with its hub. Nodes
-   whose estimated similarity to a common hub is `family` or more are a family (longer shingles want a lower one); members outside its largest component are
-   then tried with all members of other components, in blocks of BLOCK sets that are joined by their elements in place.
-   Last, of each band that still holds different components, all pairs that share neither component nor family are
-   tried, save inside the largest group. So no candidate is left out, and no group's pairs are ever rows.
-4. A pair is dropped if the sizes exclude the link, or if the likelihood estimate of its similarity from the joint
+   whose estimated similarity to a common hub is `family` or more are a family; members outside its largest component are
+   then tried with all members of other components. Last, of each band that still holds different components, all that
+   lie outside its largest group (family or component) are tried with the whole band. Both go in blocks of at most about
+   BLOCK sets and ELEMENTS shingles a side, dealt by hash, sorted, and joined by their elements in place; a block tells at most
+   one link for each component it holds. So no candidate is left out, and no group's pairs are ever rows.
+4. A node and its hub are dropped if the sizes exclude the link, or if the likelihood estimate of its similarity from the joint
    register order (how many registers are greater, smaller, equal) is over five deviations below the threshold. What is
    left is verified on the full sets.
 5. Components: minimal labels with pointer jumping over links, each round checkpointed.
@@ -24,6 +25,9 @@ can split them. Nothing is collected by the driver but convergence flags.
 
 Null and empty texts are components of their own. A component's id is its smallest non-null doc_id; kept marks the
 documents of that id, or, in a component of null ids alone, all. Repeated rows have equal sets, and share a component.
+dedup() keeps one row of each component: the least id (nulls last), of several texts of that id one fixed by hash, of
+repeated rows one. Ids are whole numbers; name documents by numbers first where ids are texts. Long texts are handled
+alone, whole. An empty table gives an empty table. dedup() returns the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,15 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import doc_keys
-from .common import durable, stored
+from .common import durable, stored, unused
 from .words import encode, hashes, mix, pieces
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
-BLOCK = 1000
+BLOCK, ELEMENTS = 500, 500_000
 #: SetSketch parameters: base and rate; registers are 16-bit.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SIMILARITY = 0.8
+#: Similarity to a hub from which on a node belongs to the hub's family; sets only in which step the rest is tried.
+FAMILY = 0.4
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 _rng = np.random.default_rng(20240229)
@@ -153,17 +159,14 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            sets = shingle_sets(piece.column("text"), width)
-            # the top 48 bits: sets of n and m hashes share one by chance with probability n m / 2^48
-            packed = [(s >> np.uint64(32)).astype(np.uint32).tobytes() + ((s >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([piece.column("v"), pa.array(packed, pa.binary())], ["v", "members"])
+            sets = [s.tobytes() for s in shingle_sets(piece.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([piece.column("v"), pa.array(sets, pa.binary())], ["v", "members"])
 
     return run
 
 
 def _members(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    return (np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64)
+    return np.frombuffer(blob, np.uint64)
 
 
 def _verified(similarity: float):
@@ -181,37 +184,93 @@ def _verified(similarity: float):
     return run
 
 
-def _within(similarity: float):
-    """Of one block of a family's members and one of its strays: a link of each stray to each other component."""
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *changes.tolist(), batch.num_rows]
+        for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+            if start == stop:
+                continue
+            key = tuple(int(c[start]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def links_within(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Of one block of members and one of strays: links of strays to members that join different components, as few as do."""
     percent = round(100 * similarity)
-
-    def run(group: pa.Table) -> pa.Table:
-        stray = np.array(group.column("stray").to_pylist(), bool)
-        v, c = group.column("v").to_numpy(), group.column("c").to_numpy()
-        sets = [_members(x) for x in group.column("members").to_pylist()]
-        own, other = np.flatnonzero(~stray), np.flatnonzero(stray)
-        found: list[tuple[int, int]] = []
-        if len(own) and len(other):
-            values = np.concatenate([sets[i] for i in own])
-            holder = np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])
-            order = np.argsort(values, kind="stable")
-            values, holder = values[order], holder[order]
-            size = np.array([len(sets[i]) for i in own])
-            for i in other:
-                x = sets[i]
-                low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-                n = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                both = np.bincount(holder[at], minlength=len(own))
-                good = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (c[own] != c[i]))
-                _, first = np.unique(c[own][good], return_index=True)
-                found += [(int(v[i]), int(v[own[k]])) for k in good[first]]
-        a, b = (list(k) for k in zip(*found, strict=True)) if found else ([], [])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    stray = group.column("stray").to_numpy()
+    v, c = group.column("v").to_numpy(), group.column("c").to_numpy()
+    own, other = np.flatnonzero(~stray), np.flatnonzero(stray)
+    if not len(own) or not len(other) or (c == c[0]).all():
+        return []
+    sets = [_members(x) for x in group.column("members").to_pylist()]
+    size = np.array([len(sets[i]) for i in own])
+    values, holder = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), size)
+    order = np.argsort(values, kind="stable")
+    values, holder = values[order], holder[order]
+    parent: dict[int, int] = {}
+    found = []
+    for i in other:
+        x = sets[i]
+        low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(holder[at], minlength=len(own))
+        good = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (c[own] != c[i]))
+        _, first = np.unique(c[own][good], return_index=True)
+        for k in own[good[first]]:
+            a, b = _root(parent, int(c[i])), _root(parent, int(c[k]))
+            if a != b:
+                parent[a] = b
+                found.append((int(v[i]), int(v[k])))
+    return found
+
+
+def _blocks_joined(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_runs(batches, ["f", "i", "j"]):
+            found = links_within(group, similarity)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def block_links(inside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of each group f, enough links of its strays to its rows to join all components c that their links join.
+
+    inside has (f, v, c, n, stray), n being the size of v's set. A group is cut into blocks of rows and blocks of strays.
+    """
+    shares = [(F.count(F.when(k, 1)), F.sum(F.when(k, F.col("n")).otherwise(0))) for k in (F.lit(True), F.col("stray"))]
+    parts = [F.ceil(F.greatest(k / BLOCK, n / ELEMENTS)).cast("int") for k, n in shares]
+    cuts = inside.groupBy("f").agg(parts[0].alias("rows"), parts[1].alias("cols"))
+    whole = inside.join(cuts.filter("cols > 0"), "f").join(sets, "v")
+    dealt = [F.pmod(F.xxhash64("v"), F.col(k)).cast("int") for k in ("rows", "cols")]
+    upto = [F.explode(F.sequence(F.lit(0), F.col(k) - 1)) for k in ("rows", "cols")]
+    members = whole.select("f", "v", "c", "members", dealt[0].alias("i"), upto[1].alias("j"), F.lit(False).alias("stray"))
+    strays = whole.filter("stray").select("f", "v", "c", "members", upto[0].alias("i"), dealt[1].alias("j"), F.lit(True).alias("stray"))
+    dealt_out = members.union(strays).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j")
+    return stored(dealt_out.mapInArrow(_blocks_joined(similarity), "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, c): the smallest node that each linked node reaches. links has (a, b), each once or more."""
     both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -231,15 +290,15 @@ def _fits(a: str, b: str, similarity: float):
     return F.least(a, b) * 100 >= F.greatest(a, b) * round(100 * similarity)
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: float = SIMILARITY, family: float = 0.6) -> DataFrame:
-    """(id, d1, d2, n_shingles, component_id, kept) for each row of docs."""
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: float = SIMILARITY, family: float = FAMILY) -> DataFrame:
+    """(id, d1, d2, n_shingles, component_id, kept, chosen) for each row of docs; chosen marks the rows equal to the one that dedup() keeps."""
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     keyed = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), d1.alias("d1"), d2.alias("d2"), F.col(f"`{text}`").alias("text"))
     sketches = stored(keyed.mapInArrow(_sketches(width), "id long, d1 long, d2 long, n long, g binary, reg binary"))
     unique = (
         sketches.filter("n > 0")
         .groupBy("g")
-        .agg(F.min("id").alias("id"), F.min(F.struct("d1", "d2")).alias("rep"), F.max("n").alias("n"), F.max("reg").alias("reg"))
+        .agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "d1", "d2")).alias("rep"), F.max("n").alias("n"), F.max("reg").alias("reg"))
         .select("g", "id", "rep.d1", "rep.d2", "n", "reg")
     )
     nodes = stored(unique.mapInArrow(_numbered, "v long, g binary, id long, d1 long, d2 long, n long, reg binary"))
@@ -253,7 +312,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     involved = full.select("v").distinct().join(nodes.select("v", "d1", "d2"), "v")
     texts = keyed.select("d1", "d2", "text").join(involved, ["d1", "d2"])
-    sets = stored(texts.select("v", "text").mapInArrow(_sets(width), "v long, members binary"))
+    # repeated rows give a node's set more than once
+    sets = stored(texts.select("v", "text").mapInArrow(_sets(width), "v long, members binary").groupBy("v").agg(F.any_value("members").alias("members")))
     least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -279,15 +339,10 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # a hub that has a hub of its own is in two families
     placed = families.join(grouped, "v", "left").withColumn("c", F.coalesce("c", "v"))
     by_part = placed.groupBy("f", "c").agg(F.count("*").alias("k"))
-    spread = by_part.groupBy("f").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
-    spread = spread.select("f", F.col("top.c").alias("big"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("cols"))
-    inside = placed.join(spread, "f").join(sets, "v")
-    blocks = [F.pmod(F.xxhash64("v"), F.col(k)).cast("int") for k in ("rows", "cols")]
-    upto = [F.explode(F.sequence(F.lit(0), F.col(k) - 1)) for k in ("rows", "cols")]
-    keys = ["f", "v", "c", "members"]
-    members = inside.select(*keys, blocks[0].alias("i"), upto[1].alias("j")).withColumn("stray", F.lit(False))
-    strays = inside.filter("c <> big").select(*keys, upto[0].alias("i"), blocks[1].alias("j")).withColumn("stray", F.lit(True))
-    second = stored(members.unionByName(strays).groupBy("f", "i", "j").applyInArrow(_within(similarity), "a long, b long"))
+    spread = by_part.groupBy("f").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).filter("top.k < all").select("f", "top.c")
+    sizes = nodes.select("v", "n")
+    inside = placed.join(spread.withColumnRenamed("c", "big"), "f").join(sizes, "v").select("f", "v", "c", "n", (F.col("c") != F.col("big")).alias("stray"))
+    second = block_links(inside, sets, similarity)
 
     joined = components(first.union(second))
     own_family = families.groupBy("v").agg(F.min("f").alias("f"))
@@ -300,26 +355,26 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .filter("groups > 1 AND low < high")
         .select("band", "big")
     )
-    open_bands = stored(held.join(largest, "band"))
-    rest = open_bands.filter("p <> big").select("band", F.col("v").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("p").alias("xp"))
-    across = rest.join(open_bands, "band").filter(
-        (F.col("c") != F.col("xc")) & (F.col("p") != F.col("xp")) & ((F.col("p") == F.col("big")) | (F.col("x") < F.col("v"))) & _fits("n", "xn", similarity)
-    )
-    third = confirmed(likely(across.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct()))
+    open_bands = held.join(largest, "band").select(F.col("band").alias("f"), "v", "c", "n", (F.col("p") != F.col("big")).alias("stray"))
+    third = block_links(open_bands, sets, similarity)
     final = components(first.union(second).union(third))
 
-    part = nodes.select("v", "g", "id").join(final, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    smallest = part.groupBy("c").agg(F.min("id").alias("component_id"))
-    named = part.join(smallest, "c").select("g", "component_id")
+    part = nodes.select("v", "g", "id", "d1", "d2").join(final, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    best = part.groupBy("c").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "d1", "d2")).alias("best"))
+    named = part.join(best, "c").select("g", "component_id", F.col("best.d1").alias("b1"), F.col("best.d2").alias("b2"))
     rows = sketches.select("id", "d1", "d2", "n", F.when(F.col("n") > 0, F.col("g")).alias("g")).join(named, "g", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return rows.select("id", "d1", "d2", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    )
+    return rows.select(
+        "id", "d1", "d2", F.col("n").alias("n_shingles"), component.alias("component_id"), ((F.col("n") == 0) | ((F.col("d1") == F.col("b1")) & (F.col("d2") == F.col("b2")))).alias("chosen")
+    ).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY, family: float = 0.4) -> DataFrame:
-    """The rows of docs that are kept: of each component the document of smallest id."""
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY, family: float = FAMILY) -> DataFrame:
+    """One row of docs for each component: the document of smallest id."""
+    k1, k2, many = unused(docs, "k1", "k2", "many")
+    chosen = link_components(docs, doc_id, text, width, similarity, family).filter("chosen")
+    kept = stored(chosen.groupBy(F.col("d1").alias(k1), F.col("d2").alias(k2)).agg((F.count(F.when(F.col("n_shingles") > 0, 1)) > 1).alias(many)))
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    kept = link_components(docs, doc_id, text, width, similarity, family).filter("kept").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).distinct()
-    return docs.withColumns({"_d1": d1, "_d2": d2}).join(kept, ["_d1", "_d2"], "left_semi").drop("_d1", "_d2")
+    found = docs.withColumns({k1: d1, k2: d2}).join(kept, [k1, k2])
+    once = found.filter(~F.col(many)).union(found.filter(many).dropDuplicates([k1, k2]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
