@@ -18,7 +18,7 @@ without words, empty and linked with nothing. Two documents are linked if 100 |A
 4. A node and its hub are dropped if the sizes exclude the link, or if the likelihood estimate of its similarity from the joint
    register order (how many registers are greater, smaller, equal) is over five deviations below the threshold. What is
    left is verified on the full sets.
-5. Components: minimal labels with pointer jumping over links, each round checkpointed.
+5. Components: minimal labels with pointer jumping over links, each round written; later links join components, not nodes.
 
 Joins are many-to-one, and keys that many rows share (a digest, a band) meet pre-aggregated minima, so adaptive execution
 can split them. Nothing is collected by the driver but convergence flags.
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import doc_keys
-from .common import durable, stored, unused
+from .common import stored, unused
 from .words import encode, hashes, mix, pieces
 
 BANDS, ROWS = 40, 6
@@ -273,18 +273,29 @@ def block_links(inside: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 def components(links: DataFrame) -> DataFrame:
     """(v, c): the smallest node that each linked node reaches. links has (a, b), each once or more."""
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "v"))
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
+    label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "v"))
     while True:
         near = both.join(label.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         lower = label.join(near, "v").select("v", "c", F.least("c", "m").alias("l"))
         hop = label.select(F.col("v").alias("l"), F.col("c").alias("h"))
-        jumped = durable(lower.join(hop, "l").select("v", F.col("c").alias("before"), F.least("l", "h").alias("c")))
+        jumped = stored(lower.join(hop, "l").select("v", F.col("c").alias("before"), F.least("l", "h").alias("c")))
         label = jumped.select("v", "c")
         if jumped.filter("before <> c").isEmpty():
             return label
 
 
+def joined_components(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of grouped, joined further by links between their nodes and others: (v, c)."""
+    of = [grouped.select(F.col("v").alias(k), F.col("c").alias(f"c{k}")) for k in ("a", "b")]
+    named = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    whole = stored(named.filter("a <> b").distinct())
+    lifted = components(whole).select(F.col("v").alias("c"), F.col("c").alias("low"))
+    known = grouped.join(lifted, "c", "left").select("v", F.coalesce("low", "c").alias("c"))
+    alone = lifted.join(grouped.select(F.col("v").alias("c")), "c", "left_anti").select(F.col("c").alias("v"), F.col("low").alias("c"))
+    return stored(known.union(alone))
+
+
 def _fits(a: str, b: str, similarity: float):
     """The sizes allow the similarity."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * round(100 * similarity)
@@ -344,10 +355,9 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = placed.join(spread.withColumnRenamed("c", "big"), "f").join(sizes, "v").select("f", "v", "c", "n", (F.col("c") != F.col("big")).alias("stray"))
     second = block_links(inside, sets, similarity)
 
-    joined = components(first.union(second))
     own_family = families.groupBy("v").agg(F.min("f").alias("f"))
     group = F.when(F.col("f").isNotNull(), F.col("f") * 2).otherwise(F.col("c") * 2 + 1)
-    held = full.select("band", "v", "n").join(joined, "v", "left").withColumn("c", F.coalesce("c", "v")).join(own_family, "v", "left").withColumn("p", group)
+    held = full.select("band", "v", "n").join(grouped, "v", "left").withColumn("c", F.coalesce("c", "v")).join(own_family, "v", "left").withColumn("p", group)
     by_group = held.groupBy("band", "p").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high"))
     largest = (
         by_group.groupBy("band")
@@ -357,7 +367,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     open_bands = held.join(largest, "band").select(F.col("band").alias("f"), "v", "c", "n", (F.col("p") != F.col("big")).alias("stray"))
     third = block_links(open_bands, sets, similarity)
-    final = components(first.union(second).union(third))
+    final = joined_components(grouped, second.union(third))
 
     part = nodes.select("v", "g", "id", "d1", "d2").join(final, "v", "left").withColumn("c", F.coalesce("c", "v"))
     best = part.groupBy("c").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "d1", "d2")).alias("best"))
