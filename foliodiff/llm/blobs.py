@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .words import mix
+
 ASK, KNOWN, DOCS = 0, 1, 2
 SCHEMA = "bucket int, block long, kind int, payload binary"
 NAMES = ["bucket", "block", "kind", "payload"]
@@ -65,6 +67,11 @@ def block_name(number: int) -> int:
     return (TaskContext.get().partitionId() << 24) | number
 
 
+def bucket_of(block: int, buckets: int) -> int:
+    """Where a block's rows that pass through go: spread by hash, since the first blocks of all tasks have alike names."""
+    return int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets))
+
+
 def rows(found: Iterable[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     columns = list(zip(*found, strict=True)) or [(), (), (), ()]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]

@@ -74,7 +74,8 @@ class Index:
     ids: list[int]
     length: int  # L, of the longest item of all
     terms: pa.Array
-    postings: list[tuple[np.ndarray, np.ndarray]]  # of a term: items, weights
+    postings: np.ndarray  # term * number of items + item, sorted
+    weights: np.ndarray  # of each posting
     block_terms: np.ndarray  # CSR over essential terms: offsets
     block_at: np.ndarray  # blocks
     block_max: np.ndarray  # largest weight of the term in the block
@@ -151,8 +152,10 @@ def build(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_w
             counts.append(len(there))
             at.append(there)
             top.append(best[there])
+    keys = np.concatenate([np.zeros(0, np.int64), *(t * len(items) + who for t, (who, _) in enumerate(lists))])
+    values = np.concatenate([np.zeros(0), *(weight for _, weight in lists)])
     return Index(
-        [i for i, _ in items], longest, pa.array(list(terms), pa.binary()).cast(pa.string()), lists, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
+        [i for i, _ in items], longest, pa.array(list(terms), pa.binary()).cast(pa.string()), keys, values, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
         np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *top]), common.reshape(n_blocks, BLOCK_ITEMS).max(axis=1), sides, widths,
     )
 
@@ -217,19 +220,26 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
         stop = min(start + 2 * index.length, int(offsets[d + 1]))
         present = np.unique(term[start:stop])
         open_blocks = live[np.searchsorted(live, p * n_blocks) : np.searchsorted(live, (p + 1) * n_blocks)] % n_blocks
-        score = np.zeros(len(index.ids))
-        for t in present[present >= 0].tolist():
-            who, weight = index.postings[t]
-            score[who] += weight
-        hits = np.flatnonzero(score >= 1)
-        hits = hits[np.isin(hits // BLOCK_ITEMS, open_blocks)]
+        items, score, _ = scored(index, present[present >= 0], open_blocks)
+        hits = items[score >= 1]
         h = hashes(words.take(pa.array(codes[start:stop]))) if len(hits) else None
         for item in hits.tolist():
             if all(not k or _holds(h, side, k) for side, k in zip(index.sides[item], index.widths[item], strict=True)):
-                out[d, item] = max(out.get((d, item), 0.0), float(score[item]))
+                out[d, item] = max(out.get((d, item), 0.0), float(score[np.searchsorted(items, item)]))
     return [(d, item, s) for (d, item), s in out.items()]
 
 
+def scored(index: Index, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(items, scores, postings read): the items of these blocks that have one of the terms. Postings of other blocks are not read."""
+    n = len(index.ids)
+    low = np.searchsorted(index.postings, (terms[:, None] * n + blocks[None, :] * BLOCK_ITEMS).ravel())
+    high = np.searchsorted(index.postings, (terms[:, None] * n + np.minimum((blocks[None, :] + 1) * BLOCK_ITEMS, n)).ravel())
+    size = high - low
+    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    items, inverse = np.unique(index.postings[at] % max(n, 1), return_inverse=True)
+    return items, np.bincount(inverse, index.weights[at], len(items)), len(at)
+
+
 def _holds(passage: np.ndarray, side: np.ndarray, width: int) -> bool:
     return np.isin(side, _grams(passage, width)).sum() >= OVERLAP * len(side) - 1e-9
 

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .words import encode, hashes, per_doc, pieces
 
 BUCKETS = 1 << 15
@@ -153,19 +154,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model from at most max_rows of the labelled documents, those whose id has the smallest hash."""
+    """A model from at most max_rows of the labelled documents, those whose id has the smallest hash.
+
+    Of several labels of one id the smallest counts, of several documents of one id the one whose text sorts first.
+    """
     chosen = (
         labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
         .filter(F.col("label").isNotNull() & F.col("id").isNotNull())
-        .dropDuplicates(["id"])
+        .groupBy("id")
+        .agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_rows)
     )
     rows = (
         docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
         .join(F.broadcast(chosen), "id")  # max_rows rows of two numbers
+        .groupBy("id", "label")
+        .agg(F.min("text").alias("text"))
         .select("label", "text")
-        .limit(2 * max_rows)  # repeated documents of one id
         .mapInArrow(_features, "label int, at binary, x binary")
         .collect()
     )
@@ -174,16 +180,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
     return train([vectors[i] for i in order], np.array([rows[i]["label"] for i in order], np.float64))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score double and predicted int (score >= threshold); columns of these names are replaced."""
-    docs = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (all by default) with score double and predicted int (score >= threshold), which replace columns of these names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    (read,) = unused(docs, "read") if text not in keep else (text,)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * (FACTORS + 1) numbers, whatever the input
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sigmoid(logits(shared.value, *featurise(p.column(0)))) for p in pieces(iter([batch.select([text])]), text)]
+            found = [sigmoid(logits(shared.value, *featurise(p.column(0)))) for p in pieces(iter([batch.select([read])]), read)]
             values = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            kept = batch.select(keep)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, f"{fields}, score double, predicted int")
+    kept = [F.col(f"`{c}`") for c in keep]
+    wide = docs.select(*kept) if text in keep else docs.select(*kept, F.col(f"`{text}`").alias(read))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
+    return wide.mapInArrow(scored, f"{fields}score double, predicted int")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import doc_keys
+from .common import unused
 
 WIDTH = 3
 OUTER = " \t\r\x0b\f"
@@ -61,26 +62,28 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     keyed = docs.select(d1.alias("d1"), d2.alias("d2"), F.col(f"`{text}`").alias("text"))
     starts = marked(keyed)
-    base = docs.drop("n_lines", "n_removed", "kept_text").withColumns({"_d1": d1, "_d2": d2})
-    joined = base.join(starts.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("starts").alias("_starts")), ["_d1", "_d2"], "left")
+    base = docs.drop("n_lines", "n_removed", "kept_text")
+    k1, k2, at, out = unused(base, "k1", "k2", "starts", "gone")
+    named = starts.select(F.col("d1").alias(k1), F.col("d2").alias(k2), F.col("starts").alias(at))
+    joined = base.withColumns({k1: d1, k2: d2}).join(named, [k1, k2], "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
 
     def removed(filled: Column) -> Column:
-        ranks = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.array(*[s + k for k in range(WIDTH)]))))
+        ranks = F.array_distinct(F.flatten(F.transform(at, lambda s: F.array(*[s + k for k in range(WIDTH)]))))
         return F.transform(ranks, lambda r: F.get(filled, r)["i"])
 
-    gone = F.when(F.col("_starts").isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.array(_filled(lines)), removed)[0])
-    kept = F.transform(F.array(lines), lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_gone")), lambda i: F.get(a, i)))[0]
+    gone = F.when(F.col(at).isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.array(_filled(lines)), removed)[0])
+    kept = F.transform(F.array(lines), lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col(out)), lambda i: F.get(a, i)))[0]
     return (
-        joined.withColumns({"_gone": gone, "n_lines": F.coalesce(F.size(_filled(lines)), F.lit(0)).cast("long")})
+        joined.withColumns({out: gone, "n_lines": F.coalesce(F.size(_filled(lines)), F.lit(0)).cast("long")})
         .withColumns(
             {
                 "n_lines": F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.col("n_lines")).cast("long"),
-                "n_removed": F.size("_gone").cast("long"),
-                "kept_text": F.when(F.size("_gone") == 0, F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")),
+                "n_removed": F.size(out).cast("long"),
+                "kept_text": F.when(F.size(out) == 0, F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")),
             }
         )
-        .drop("_d1", "_d2", "_starts", "_gone")
+        .drop(k1, k2, at, out)
     )
 
 

@@ -82,15 +82,16 @@ p{k} AS (SELECT g.idx, (coalesce(x.{k}, 0) + (coalesce(t2{k}.u, 0) + 1) * ((coal
     )
     return f"""
 WITH a AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
-b AS (SELECT *, {rule} AS rule, {said} AS said, NOT regexp_matches(host, '{"|".join(u.SEED_WORDS)}') AS ok, translate(host || path, '{UPPER}', '{LOWER}') AS t FROM a),
-coded AS (SELECT page_id, host, ok, length(t) AS size, [0, 0] || list_transform(list_filter(string_split(t, ''), lambda x: x <> ''), lambda x: instr('{u.ALPHABET}', x) % {n}) AS k FROM b),
-gram AS (SELECT page_id, host, ok, k[i - 2] AS h2, k[i - 1] AS h1, k[i] AS c, (k[i - 2] * {n} + k[i - 1]) * {n} + k[i] AS idx FROM (SELECT *, unnest(range(3, len(k) + 1)) AS i FROM coded)),
-counts AS (SELECT idx, h2, h1, c, count(*) FILTER (WHERE ok) AS yes, count(*) FILTER (WHERE NOT ok) AS no FROM gram WHERE host <> '' GROUP BY ALL),
+b AS (SELECT *, {rule} AS rule, {said} AS said, {said} = 'allow' AS ok, left(md5(host || path), 1) > '3' AS counted, translate(host || path, '{UPPER}', '{LOWER}') AS t FROM a),
+coded AS (SELECT page_id, ok, counted, length(t) AS size, [0, 0] || list_transform(list_filter(string_split(t, ''), lambda x: x <> ''), lambda x: instr('{u.ALPHABET}', x) % {n}) AS k FROM b),
+gram AS (SELECT page_id, ok, counted, k[i - 2] AS h2, k[i - 1] AS h1, k[i] AS c, (k[i - 2] * {n} + k[i - 1]) * {n} + k[i] AS idx FROM (SELECT *, unnest(range(3, len(k) + 1)) AS i FROM coded)),
+counts AS (SELECT idx, h2, h1, c, count(*) FILTER (WHERE ok) AS yes, count(*) FILTER (WHERE NOT ok) AS no FROM gram WHERE ok IS NOT NULL AND counted GROUP BY ALL),
 {smooth}
 score AS (SELECT page_id, sum(ln(pyes.p / pno.p)) AS s FROM gram JOIN pyes ON pyes.idx = gram.idx JOIN pno ON pno.idx = gram.idx GROUP BY page_id),
-v AS (SELECT coded.page_id, host, ok, coalesce(s, 0) / greatest(size, 1) AS s FROM coded LEFT JOIN score ON score.page_id = coded.page_id),
-m AS (SELECT avg(s) FILTER (WHERE ok) AS a, avg(s) FILTER (WHERE NOT ok) AS r, stddev_pop(s) FILTER (WHERE ok) AS sa, stddev_pop(s) FILTER (WHERE NOT ok) AS sr FROM v WHERE host <> ''),
-threshold AS (SELECT coalesce(CASE WHEN sa + sr > 0 THEN (a * sr + r * sa) / (sa + sr) ELSE (a + r) / 2 END, '-inf'::DOUBLE) AS h FROM m)
+v AS (SELECT coded.page_id, ok, counted, coalesce(s, 0) / greatest(size, 1) AS s FROM coded LEFT JOIN score ON score.page_id = coded.page_id),
+m AS (SELECT avg(s) FILTER (WHERE ok) AS a, avg(s) FILTER (WHERE NOT ok) AS r, stddev_pop(s) FILTER (WHERE ok) AS sa, stddev_pop(s) FILTER (WHERE NOT ok) AS sr FROM v WHERE NOT counted),
+seen AS (SELECT bool_or(ok) AND bool_or(NOT ok) AS two FROM v WHERE counted AND ok IS NOT NULL),
+threshold AS (SELECT CASE WHEN two THEN coalesce(CASE WHEN sa + sr > 0 THEN (a * sr + r * sa) / (sa + sr) ELSE (a + r) / 2 END, 0) ELSE '-inf'::DOUBLE END AS h FROM m CROSS JOIN seen)
 SELECT b.page_id, b.host, b.path, rule, coalesce(said, CASE WHEN v.s < h THEN 'block' ELSE 'allow' END) AS verdict FROM b JOIN v ON v.page_id = b.page_id CROSS JOIN threshold
 """
 

@@ -51,7 +51,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = factorisation.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    return factorisation.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return factorisation.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

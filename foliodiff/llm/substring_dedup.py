@@ -14,8 +14,8 @@ the first before they are sent, so that a passage found in a third of all docume
 64 bits; two different windows of n are taken for equal with probability n^2 / 2^65, and only if that holds at both levels.
 
 Null texts have no words. Documents are known by id and text: rows that repeat both count once and share the result;
-null ids sort first. Texts of any length are handled whole. Extra columns are kept by dedup(); clashing names replaced.
-The input must be a scan of files or tables (see blobs).
+null ids sort first. Texts of any length are handled whole, an empty table gives an empty table. dedup() keeps extra columns; those named n_words,
+n_removed or kept_text are replaced. An input that is no plain scan of files is written first (see blobs). Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import ASK, BLOCK, DOCS, KNOWN, SCHEMA, block_name, by_bucket, doc_keys, pack, rows, runs, unpack
+from .blobs import ASK, BLOCK, DOCS, KNOWN, SCHEMA, block_name, bucket_of, by_bucket, doc_keys, pack, rows, runs, unpack
+from .common import fixed, unused
 from .words import encode, hashes, mix, pieces
 
 LONG = 20
 HALF = LONG // 2
+#: Text for each bucket of hashes; a bucket is one task's group, and gets about half as many bytes of entries.
+BUCKET_BYTES = 64 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +72,7 @@ def _level_1(buckets: int):
             h, doc, pos = h[order], doc[order], pos[order]
             first, size = runs(h)
             many = np.repeat(size > 1, size)
-            out = [(block % buckets, block, DOCS, pack(d1, d2)), (block % buckets, block, KNOWN, pack(doc[many], pos[many]))]
+            out = [(bucket_of(block, buckets), block, DOCS, pack(d1, d2)), (bucket_of(block, buckets), block, KNOWN, pack(doc[many], pos[many]))]
             h, doc, pos, many = h[first], doc[first], pos[first], size > 1
             for b, at in by_bucket((h % np.uint64(buckets)).astype(np.int32), buckets):
                 out.append((b, block, ASK, pack(h[at], doc[at], pos[at], many[at])))
@@ -135,7 +138,7 @@ def _level_2(buckets: int):
             order = np.lexsort((pos, d1[doc], h))
             h, doc, pos = h[order], doc[order], pos[order]
             least = _least(h, d1[doc], pos)
-            out = [(block % buckets, block, DOCS, pack(d1, d2)), (block % buckets, block, KNOWN, pack(doc[~least], pos[~least]))]
+            out = [(bucket_of(block, buckets), block, DOCS, pack(d1, d2)), (bucket_of(block, buckets), block, KNOWN, pack(doc[~least], pos[~least]))]
             h, doc, pos = h[least], doc[least], pos[least]
             for b, at in by_bucket((h % np.uint64(buckets)).astype(np.int32), buckets):
                 own, local = np.unique(doc[at], return_inverse=True)
@@ -205,37 +208,44 @@ def _level(df: DataFrame, scan, answer, buckets: int) -> DataFrame:
 def covered_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d1, d2, at): the starts of the windows to remove, as packed 32-bit numbers, of each document that has any."""
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    keyed = docs.select(d1.alias("d1"), d2.alias("d2"), F.col(f"`{text}`").alias("text"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fixed(docs.select(d1.alias("d1"), d2.alias("d2"), F.col(f"`{text}`").alias("text")))
+    size = keyed.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    buckets = max(-(-size // BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     halves = _level(keyed, _level_1, _answer_1, buckets)
     candidates = keyed.join(halves, ["d1", "d2"]).sortWithinPartitions("d1", "d2")  # sorted: the same blocks if run again
     return _level(candidates, _level_2, _answer_2, buckets)
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, at in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_at").to_pylist(), strict=True):
-            words = (text or b"").split()
-            n_words.append(len(words))
-            if at:
-                edge = np.zeros(len(words) + 1, np.int64)
-                starts = np.frombuffer(at, np.uint32).astype(np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + LONG, -1)
-                words = [w for w, n in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not n]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        rest = [(n, batch.column(n)) for n in batch.schema.names if n not in ("_text", "_at")]
-        yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*(n for n, _ in rest), "n_words", "n_removed", "kept_text"])
+def _removed(text: str, at: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_removed, kept = [], [], []
+            for whole, starts in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                words = (whole or b"").split()
+                n_words.append(len(words))
+                if starts:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    first = np.frombuffer(starts, np.uint32).astype(np.int64)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, first + LONG, -1)
+                    words = [w for w, n in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not n]
+                n_removed.append(n_words[-1] - len(words))
+                kept.append(b" ".join(words).decode())
+            rest = [(n, batch.column(n)) for n in batch.schema.names if n not in (text, at)]
+            columns = [*(c for _, c in rest), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*(n for n, _ in rest), "n_words", "n_removed", "kept_text"])
+
+    return run
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all by default) with n_words, n_removed and kept_text, the kept words joined by one space."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_removed", "kept_text", "_text", "_at")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_removed", "kept_text")]
+    k1, k2, whole, at = unused(docs, "k1", "k2", "whole", "at")
     d1, d2 = doc_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    starts = covered_windows(docs, doc_id, text).withColumnRenamed("at", "_at")
-    wide = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"), d1.alias("_d1"), d2.alias("_d2"))
-    joined = wide.join(starts, (F.col("_d1") == F.col("d1")) & (F.col("_d2") == F.col("d2")), "left").select(*(F.col(f"`{c}`") for c in keep), "_text", "_at")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in keep)).schema)
-    return joined.mapInArrow(_removed, f"{fields}, n_words long, n_removed long, kept_text string")
+    starts = covered_windows(docs, doc_id, text).select(F.col("d1").alias(k1), F.col("d2").alias(k2), F.col("at").alias(at))
+    kept = [F.col(f"`{c}`") for c in keep]
+    joined = docs.select(*kept, F.col(f"`{text}`").alias(whole), d1.alias(k1), d2.alias(k2)).join(starts, [k1, k2], "left").select(*kept, whole, at)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    fields = f"{fields}, " if fields else ""
+    return joined.mapInArrow(_removed(whole, at), f"{fields}n_words long, n_removed long, kept_text string")

@@ -1,20 +1,23 @@
 """URL filter: host-and-path rules, and for the rest a ratio of two character language models.
 
-Two variable-order Markov models over characters, one of accepted and one of rejected URLs, are counted from labelled
-URLs. A character's probability backs off over contexts of two, one and no characters by Witten-Bell smoothing, so
-that a context counts as much as it was seen. A URL's score is the mean over its characters of the difference of the
-log-probabilities; the threshold between the classes is calibrated on the labelled URLs by their means and deviations.
+Two variable-order Markov models over characters, one of accepted and one of rejected URLs, are counted from the URLs
+that the rules decide: there the verdict is known, and the models carry it over to URLs that no rule meets. A character's
+probability backs off over contexts of two, one and no characters by Witten-Bell smoothing, so that a context counts as
+much as it was seen. A URL's score is the mean over its characters of the difference of the log-probabilities. A quarter
+of the decided URLs, by a hash of host and path, are kept from counting; the threshold is calibrated on these by the means
+and deviations of their classes. If a class has none of them, the threshold is 0, where both models are equally likely.
 
 Characters fold to an alphabet of 40 symbols, so a model is a table of 40^3 numbers whatever the input: it is built by
-aggregation on Spark, read by the driver at that fixed size, and folded into the scoring expression as one array
-literal (higher-order functions take no subqueries). Scoring is one scan with built-in expressions.
+one aggregation on Spark, stored, read by the driver at that fixed size, and folded into the scoring expression as one array
+literal (higher-order functions take no subqueries). Pages are scanned three times: to count, to calibrate, to judge.
 
 The models learn from and score host and path only, as the SQL does. Query and fragment (from `?` or `#` on) are left out, so
 a URL that no rule meets and whose bad part lies there is judged by the rest of it.
 
 A null URL, or one without `://`, has an empty host and path, and is judged as an empty text, whose score is 0. If one
-class has no labelled URL, everything is allowed that no rule blocks. Repeated rows give repeated results. Columns of
-the input named as a result are replaced by it.
+class has no URL to count, everything is allowed that no rule blocks. An empty table gives an empty table. Long URLs are
+counted and scored whole. Repeated rows count each, and give repeated results. Columns of the input named host, path, rule,
+score or verdict are replaced by the result; all others stay.
 """
 
 from __future__ import annotations
@@ -24,13 +27,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored, unused
 
 #: The symbols that stay apart; symbol 0 is every other character, and pads the start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-"
 N = len(ALPHABET) + 1
-#: Words in a host name that mark a URL as rejected when the models are trained.
-SEED_WORDS = ("spam", "casino", "pills", "bets", "adult", "ads", "porn", "poker", "warez", "viagra", "loans", "xxx")
 #: Rules of the production run: (host, path prefix, verdict).
 RULES = (
     ("com", "/en/", "block"),
@@ -103,7 +104,7 @@ def _smoothed(counts: DataFrame, n: str) -> DataFrame:
 
 def fit(labelled: DataFrame, text: str = "text", accepted: str = "accepted") -> DataFrame:
     """One row: table array<double> of N^3 log-probability differences, accepted minus rejected. Counts cover all rows."""
-    counts = (
+    counts = stored(
         labelled.filter(F.col(accepted).isNotNull())
         .select(F.col(accepted).alias("ok"), F.explode(grams_of(F.col(text))).alias("at"))
         .withColumn("idx", F.col("at").cast("long"))
@@ -127,27 +128,34 @@ def score(text: Column, lookup: Column) -> Column:
     return total / F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
 
 
-def calibrate(scored: DataFrame, value: str, accepted: str) -> DataFrame:
-    """One row: threshold, as many deviations above the rejected mean as below the accepted mean; null if a class is empty."""
+def calibrate(scored: DataFrame, value: str, accepted: str, counted: str) -> DataFrame:
+    """One row: threshold, as many deviations above the rejected mean as below the accepted mean, over the rows not counted.
+
+    0 if those lack a class, null if the counted rows do.
+    """
 
     def of(yes: bool, f) -> Column:
-        return f(F.when(F.col(accepted) == yes, F.round(value, 9)))
+        return f(F.when(~F.col(counted) & (F.col(accepted) == yes), F.round(value, 9)))
 
     a, r = of(True, F.avg), of(False, F.avg)
     sa, sr = of(True, F.stddev_pop), of(False, F.stddev_pop)
-    return scored.agg(F.round(F.coalesce(F.try_divide(a * sr + r * sa, sa + sr), (a + r) / 2), 6).alias("threshold"))
+    between = F.coalesce(F.try_divide(a * sr + r * sa, sa + sr), (a + r) / 2, F.lit(0.0))
+    both = F.count_if(F.col(counted) & F.col(accepted)) * F.count_if(F.col(counted) & ~F.col(accepted)) > 0
+    return scored.agg(F.when(both, F.round(between, 6)).alias("threshold"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEED_WORDS, url: str = "url") -> DataFrame:
-    """pages with host, path, rule, score and verdict. Labels for the models: a host that holds a seed word is rejected."""
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
+    """pages with host, path, rule, score and verdict."""
+    (said,) = unused(pages, "said")
     u = F.col(f"`{url}`")
-    parts = pages.withColumns({"host": host_of(u), "path": path_of(u)})
-    mark = F.col("host").rlike("|".join(seeds)) if seeds else F.lit(False)
     text = F.concat("host", "path")
-    labelled = parts.filter(F.length("host") > 0).select(text.alias("text"), (~mark).alias("accepted"))
-    lookup = literal(fit(labelled))
-    threshold = calibrate(labelled.select("accepted", score(F.col("text"), lookup).alias("value")), "value", "accepted")
-    rule, said = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumns({"rule": rule, "score": F.round(score(text, lookup), 9), "_said": said})
+    parts = pages.withColumns({"host": host_of(u), "path": path_of(u)})
+    rule, decided = rule_columns(F.col("host"), F.col("path"), rules)
+    parts = parts.withColumns({"rule": rule, said: decided})
+    labelled = parts.filter(F.col(said).isNotNull()).select(text.alias("text"), (F.col(said) == "allow").alias("accepted"), (F.substring(F.md5(text), 1, 1) > "3").alias("counted"))
+    lookup = literal(fit(labelled.filter("counted")))
+    scored = labelled.select("accepted", "counted", score(F.col("text"), lookup).alias("value"))
+    threshold = calibrate(scored, "value", "accepted", "counted")
+    judged = parts.withColumn("score", F.round(score(text, lookup), 9))
     method = F.when(F.col("score") < F.coalesce(threshold.scalar(), F.lit(float("-inf"))), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("_said", method)).drop("_said")
+    return judged.withColumn("verdict", F.coalesce(said, method)).drop(said)

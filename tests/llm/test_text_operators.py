@@ -244,12 +244,3 @@ def test_model_awkward(docs, awkward):
     assert pitman_yor.score(awkward, F.col("doc_id") == 1).count() == awkward.count()
     assert pitman_yor.score(awkward, F.lit(True)).count() == awkward.count()
     assert pitman_yor.score(empty(docs), F.lit(False)).count() == 0
-
-
-def test_seating_counts():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    c = np.array([1, 2, 50, 5000, 1])
-    t, weight = pitman_yor.seat(rng, c, np.full(5, 10.0), 1.0, 0.7, np.full(5, 0.05))
-    assert (t >= 1).all() and (t <= c).all() and t[3] > t[2] > 1 and np.isfinite(weight).all()
