@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Audit code and severity of each difference type.
@@ -20,6 +21,16 @@ TYPES = {
     "missing_content": ("MISSING_CONTENT", "High"),
     "added_content": ("ADDED_CONTENT", "Medium"),
     "value_mismatch": ("VALUE_MISMATCH", "Medium"),
+    "format_mismatch": ("FORMAT_MISMATCH", "Low"),
+    "font_mismatch": ("FONT_MISMATCH", "Low"),
+    "font_size_mismatch": ("FONT_SIZE_MISMATCH", "Low"),
+    "image_added": ("IMAGE_ADDED", "Medium"),
+    "image_removed": ("IMAGE_REMOVED", "High"),
+    "image_count_mismatch": ("IMAGE_COUNT_MISMATCH", "Medium"),
+    "number_format_mismatch": ("NUMBER_FORMAT_MISMATCH", "Low"),
+    "date_format_mismatch": ("DATE_FORMAT_MISMATCH", "Low"),
+    "currency_format_mismatch": ("CURRENCY_FORMAT_MISMATCH", "Low"),
+    "exact_match": ("MATCH", "Low"),
 }
 
 
@@ -68,3 +79,36 @@ def run_stats(docs: DataFrame, groups: DataFrame) -> DataFrame:
     files = docs.agg(F.count("*").alias("files"), F.sum((~F.col("failed")).cast("long")).alias("parsed"), F.sum(F.col("failed").cast("long")).alias("failed"), F.countDistinct("account").alias("accounts"))
     some = groups.agg(F.count("*").alias("groups"), F.sum((F.size("comparable") >= 2).cast("long")).alias("comparable_groups"), F.sum(F.size("comparable")).alias("comparable_versions"))
     return files.withColumn("one", F.lit(1)).join(some.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+
+
+def account_breakdown(groups: DataFrame) -> DataFrame:
+    """(account, n_groups)."""
+    return groups.groupBy("account").agg(F.count("*").alias("n_groups"))
+
+
+def distinct_counts(places: DataFrame) -> DataFrame:
+    """One row: accounts, packages (of an account each), and categories, distinct names over all accounts; empty names are none."""
+    return places.agg(
+        F.countDistinct("account").alias("accounts"), F.countDistinct("account", "package_name").alias("packages"), F.countDistinct(F.when(F.col("category") != "", F.col("category"))).alias("categories")
+    )
+
+
+def chain_rows(diffs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each report (keys) and pair of formats that has differences: their number, and the pair's label.
+
+    Formats are baseline_format and comparing_format. Pairs without differences have no row.
+    """
+    counted = diffs.groupBy(*keys, "baseline_format", "comparing_format").agg(F.count("*").alias("n_differences"))
+    return counted.withColumns({"chain": F.concat_ws(" → ", "baseline_format", "comparing_format"), "result": F.lit("Differences Found")})
+
+
+def issue_lists(found: DataFrame, keys: list[str], wanted: list[str]) -> DataFrame:
+    """The issues of each report in order: one row an issue, numbered within its report by difference id. A report with most of all issues is sorted, not gathered."""
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("diff_id"))
+    return found.select(*keys, number.alias("issue"), "diff_id", *wanted)
+
+
+def visible_counts(found: DataFrame) -> DataFrame:
+    """(report, n_all, n_ignored, n_visible)."""
+    ignored = F.count_if(F.col("status") == "Ignored")
+    return found.groupBy("report").agg(F.count("*").alias("n_all"), ignored.alias("n_ignored"), (F.count("*") - ignored).alias("n_visible"))

@@ -58,20 +58,64 @@ def cell_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.cell_changes(w.frame(spark, sf_dir, w.CELLS_REF), w.frame(spark, sf_dir, w.CELLS_VER))
 
 
-_NAMED = "SELECT doc, CAST(doc % 3 AS INT) AS sheet_idx, CASE WHEN doc % 2 = 0 THEN 'Main' ELSE concat('S', CAST(doc % 5 AS STRING)) END AS sheet FROM (SELECT DISTINCT o_custkey % 200 AS doc FROM {orders}) t UNION ALL SELECT DISTINCT o_custkey % 200, 3, 'Totals' FROM {orders}"
-_OTHER = "SELECT doc, CAST(doc % 4 AS INT) AS sheet_idx, CASE WHEN doc % 3 = 0 THEN 'Main' ELSE concat('T', CAST(doc % 5 AS STRING)) END AS sheet FROM (SELECT DISTINCT o_custkey % 200 AS doc FROM {orders}) t UNION ALL SELECT DISTINCT o_custkey % 200, 4, 'Totals' FROM {orders} WHERE o_custkey % 7 < 3"
+_PLACE = "SELECT c_custkey AS pair_id, n_name AS account, c_mktsegment AS package_name, concat('Report ', CAST(c_custkey % 4 AS STRING)) AS group_label FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey"
+_NAMED = "SELECT doc, CAST(doc % 3 AS INT) AS sheet_idx, CASE WHEN doc % 2 = 0 THEN 'Main' ELSE concat('S', CAST(doc % 5 AS STRING)) END AS sheet FROM (SELECT DISTINCT o_custkey AS doc FROM {orders}) t UNION ALL SELECT DISTINCT o_custkey, 3, 'Totals' FROM {orders}"
+_OTHER = "SELECT doc, CAST(doc % 4 AS INT) AS sheet_idx, CASE WHEN doc % 3 = 0 THEN 'Main' ELSE concat('T', CAST(doc % 5 AS STRING)) END AS sheet FROM (SELECT DISTINCT o_custkey AS doc FROM {orders}) t UNION ALL SELECT DISTINCT o_custkey, 4, 'Totals' FROM {orders} WHERE o_custkey % 7 < 3"
 
 
 def sheet_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.align_sheets(w.frame(spark, sf_dir, _NAMED), w.frame(spark, sf_dir, _OTHER))
 
 
-#: The same relations with every customer as a document.
-_NAMED_ALL, _OTHER_ALL = (x.replace("o_custkey % 200", "o_custkey") for x in (_NAMED, _OTHER))
+def sheet_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.sheet_presence(*(w.frame(spark, sf_dir, x).withColumnRenamed("sheet_idx", "pos") for x in (_NAMED_FROM_0, _OTHER_FROM_0)))
+
+
+def _from_0(relation: str) -> str:
+    return f"SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY sheet_idx) - 1 AS INT) AS sheet_idx, sheet FROM ({relation}) s"
+
+
+_NAMED_FROM_0, _OTHER_FROM_0 = _from_0(_NAMED), _from_0(_OTHER)
+
+
+def header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.header_changes(w.frame(spark, sf_dir, w.CELLS_REF), w.frame(spark, sf_dir, w.CELLS_VER))
+
+
+_ENTRY_LINES = f"SELECT pair_id AS doc, CAST(idx + 1 AS INT) AS line_no, line FROM ({w.KV_LINES}) e"
+
+
+def field_text_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.text_entries(w.frame(spark, sf_dir, _ENTRY_LINES))
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences with the two formats of their comparison."""
+    comparing = F.when(F.col("pair_id") % 3 == 0, "csv").when(F.col("pair_id") % 3 == 1, "docx").otherwise("pdf")
+    return _diffs(spark, sf_dir).withColumns({"baseline_format": F.lit("xlsx"), "comparing_format": comparing})
+
+
+def chain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.chain_rows(_paired(spark, sf_dir), ["account", "package_name", "group_label"])
+
+
+_HIERARCHY = f"SELECT account, package_name, CASE WHEN pair_id % 5 = 0 THEN '' ELSE group_label END AS category FROM ({_PLACE}) h"
 
 
-def sheet_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.align_sheets(w.frame(spark, sf_dir, _NAMED_ALL), w.frame(spark, sf_dir, _OTHER_ALL))
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.distinct_counts(w.frame(spark, sf_dir, _HIERARCHY))
+
+
+def account_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.account_breakdown(w.frame(spark, sf_dir, f"SELECT DISTINCT account, package_name, category FROM ({_HIERARCHY}) a"))
+
+
+def visible_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.visible_counts(_issues(spark, sf_dir))
+
+
+def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.issue_lists(_issues(spark, sf_dir), ["account", "package_name", "report"], ["code", "severity", "status"])
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +126,6 @@ def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLACE = "SELECT c_custkey AS pair_id, n_name AS account, c_mktsegment AS package_name, concat('Report ', CAST(c_custkey % 4 AS STRING)) AS group_label FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey"
-
-
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.fingerprints(_diffs(spark, sf_dir)).select("diff_id", "account_hash", "report_hash", "location_hash", F.sha2("location_key", 256).alias("fingerprint"))
 
@@ -156,6 +197,7 @@ _VERSIONS = f"""
 SELECT pair_id AS group_id, 0 AS version, idx AS ord, label, value FROM ({w.ITEMS_BASE}) v0
 UNION ALL SELECT pair_id, 1, idx, label, value FROM ({w.ITEMS_COMP}) v1
 UNION ALL SELECT pair_id, 2, idx, label, CASE WHEN (pair_id + idx) % 21 = 0 THEN '' ELSE value END FROM ({w.ITEMS_COMP}) v2 WHERE (pair_id + idx) % 31 <> 0
+UNION ALL SELECT pair_id, 1, 20, CASE WHEN pair_id % 2 = 0 THEN 'Contact #2' ELSE 'Contact' END, value FROM ({w.ITEMS_BASE}) v3 WHERE idx = 0 AND pair_id % 9 = 0
 """
 
 
@@ -297,9 +339,10 @@ QUERIES = {
     "field_nway": (
         field_nway,
         f"""WITH r AS (SELECT *, {sql.normalize_key('label')} AS key, row_number() OVER (PARTITION BY group_id, version, {sql.normalize_key('label')} ORDER BY ord)::INT AS n FROM {w.oracle(_VERSIONS)}),
+        k AS (SELECT group_id, key, bool_or(version = 0) AS known FROM r GROUP BY 1, 2),
         g AS (SELECT group_id, key, n, arg_min(label, (version, ord)) AS label, coalesce(max(value) FILTER (WHERE version = 0), '') AS a, coalesce(max(value) FILTER (WHERE version = 1), '') AS b, coalesce(max(value) FILTER (WHERE version = 2), '') AS c FROM r GROUP BY 1, 2, 3)
         SELECT group_id, key, n, label, a AS reference_text, b || '|' || c AS texts, (CASE WHEN b = a THEN 'unchanged' WHEN b = '' THEN 'removed' WHEN a = '' THEN 'added' ELSE 'changed' END) || '|' || (CASE WHEN c = a THEN 'unchanged' WHEN c = '' THEN 'removed' WHEN a = '' THEN 'added' ELSE 'changed' END) AS kinds
-        FROM g WHERE (a <> b OR a <> c) AND NOT (a = '' AND b = c AND b <> '')""",
+        FROM g JOIN k USING (group_id, key) WHERE (a <> b OR a <> c) AND NOT (a = '' AND (b = c OR b = '' OR c = '') AND NOT (regexp_matches(label, ' #[0-9]+$') AND NOT known))""",
     ),
     "pipe_blocks": (pipe_blocks, _BLOCKS + "SELECT doc, block, count(*) AS n_rows, max(len(cells))::INT AS n_cols, min(line_no) AS first_line FROM b GROUP BY 1, 2"),
     "pipe_items": (
@@ -394,4 +437,43 @@ QUERIES = {
         n AS (SELECT g.doc, g.ord, arg_min(col, (abs(x - x0), col)) AS col, min(abs(x - x0)) AS far FROM g JOIN c ON c.doc = g.doc GROUP BY 1, 2) SELECT doc, ord, CASE WHEN far <= 20 THEN col ELSE -1 END AS col FROM n""",
     ),
 }
-QUERIES["sheet_align_all"] = (sheet_align_all, QUERIES["sheet_align"][1].replace("o_custkey % 200", "o_custkey"))
+QUERIES["sheet_align_all"] = QUERIES["sheet_align"]
+QUERIES |= {
+    "field_sheet_presence": (
+        sheet_presence,
+        f"""WITH a AS {w.oracle(_NAMED_FROM_0)}, b AS {w.oracle(_OTHER_FROM_0)}, n AS (SELECT doc, max(sheet_idx) + 1 AS n FROM a GROUP BY doc)
+        SELECT b.doc, 'sheet_added' AS difference_type, b.sheet, '' AS other FROM b JOIN n ON n.doc = b.doc WHERE b.sheet_idx >= n.n
+        UNION ALL SELECT a.doc, 'sheet_removed', a.sheet, '' FROM a WHERE a.doc IN (SELECT doc FROM b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc = a.doc AND (b.sheet_idx = a.sheet_idx OR b.sheet = a.sheet))
+        UNION ALL SELECT a.doc, 'sheet_renamed', a.sheet, b.sheet FROM a JOIN b ON b.doc = a.doc AND b.sheet_idx = a.sheet_idx WHERE a.sheet <> b.sheet""",
+    ),
+    "header_diff": (
+        header_diff,
+        f"""WITH a AS (SELECT doc, sheet_idx AS pos, c, {sql.trim('value')} AS old FROM {_REF} WHERE r = 0), b AS (SELECT doc, sheet_idx AS pos, c, {sql.trim('value')} AS new FROM {_VER} WHERE r = 0)
+        SELECT doc, pos, c, old, new FROM a JOIN b USING (doc, pos, c) WHERE old <> '' AND new <> '' AND old <> new AND NOT {sql.is_numeric('old')}""",
+    ),
+    "field_text_entries": (
+        field_text_entries,
+        f"""WITH l AS (SELECT doc, line_no AS ord, {sql.trim('line')} AS line FROM {w.oracle(_ENTRY_LINES)}), m AS (SELECT *, regexp_matches(line, $f${fields.FIELD_LINE}$f$) AS is_field FROM l WHERE line <> ''),
+        e AS (SELECT doc, ord, is_field, {sql.trim(f"regexp_extract(line, $f${fields.FIELD_LINE}$f$, 1)")} AS lab, {sql.trim(f"regexp_extract(line, $f${fields.FIELD_LINE}$f$, 2)")} AS val, line, count(*) FILTER (WHERE NOT is_field) OVER (PARTITION BY doc ORDER BY ord) - 1 AS place FROM m)
+        SELECT doc, ord, CASE WHEN is_field THEN {sql.normalize_key('lab')} ELSE 'text#' || place END AS key, CASE WHEN is_field THEN lab ELSE 'Text · Line ' || ord END AS label, CASE WHEN is_field THEN val ELSE line END AS value FROM e""",
+    ),
+    "chain_rows": (
+        chain_rows,
+        _FINGER
+        + """SELECT account, package_name, group_label, 'xlsx' AS baseline_format, CASE pair_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'docx' ELSE 'pdf' END AS comparing_format, count(*) AS n_differences,
+        'xlsx → ' || CASE pair_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'docx' ELSE 'pdf' END AS chain, 'Differences Found' AS result FROM f GROUP BY ALL""",
+    ),
+    "distinct_counts": (
+        distinct_counts,
+        f"SELECT count(DISTINCT account) AS accounts, count(DISTINCT (account, package_name)) AS packages, count(DISTINCT category) FILTER (WHERE category <> '') AS categories FROM {w.oracle(_HIERARCHY)}",
+    ),
+    "account_breakdown": (account_breakdown, f"SELECT account, count(*) AS n_groups FROM (SELECT DISTINCT account, package_name, category FROM {w.oracle(_HIERARCHY)}) GROUP BY 1"),
+    "visible_count": (
+        visible_count,
+        _RULED + "SELECT group_label AS report, count(*) AS n_all, count(*) FILTER (WHERE status = 'Ignored') AS n_ignored, count(*) FILTER (WHERE status <> 'Ignored') AS n_visible FROM i GROUP BY 1",
+    ),
+    "issue_list": (
+        issue_list,
+        _RULED + "SELECT account, package_name, group_label AS report, row_number() OVER (PARTITION BY account, package_name, group_label ORDER BY diff_id)::INT AS issue, diff_id, code, severity, status FROM i",
+    ),
+}

@@ -53,14 +53,6 @@ def is_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.frame(spark, sf_dir, w.CELLS_REF).select("doc", "r", "c", t.is_numeric(F.col("value")).alias("numeric"))
 
 
-def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "lang", t.one_line(F.col("text"), 200).alias("a"))
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang"), F.col("a").alias("b"))
-    segments = t.word_diff(F.col("a"), F.col("b"))
-    flat = F.transform(segments, lambda s: F.concat(F.when(s["added"], "+").when(s["removed"], "-").otherwise("="), s["value"]))
-    return docs.join(other, ["doc_id", "lang"]).select("doc_id", F.array_join(flat, "\n").alias("diff"))
-
-
 def word_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, white space as it stands; line feeds and backslashes within a segment are escaped."""
     docs = _documents(spark, sf_dir).select("doc_id", "lang", F.col("text").alias("a"))
@@ -90,16 +82,6 @@ QUERIES = {
     ),
     "a1_roundtrip": (a1_roundtrip, f"SELECT doc_id, {sql.cell_address('doc_id', '(doc_id * 7 % 18278)')} AS address, doc_id * 7 % 18278 AS back FROM documents"),
     "is_numeric": (is_numeric, f"SELECT doc, r, c, {sql.is_numeric('value')} AS numeric FROM {w.oracle(w.CELLS_REF)}"),
-    "word_diff_positional": (
-        word_diff,
-        f"""
-WITH d AS (SELECT doc_id, lang, {_LINE.format(x=_ONE, n=200)} AS a FROM documents),
-p AS (SELECT d.doc_id, {_WORDS.format(x='d.a')} AS x, {_WORDS.format(x='e.a')} AS y FROM d JOIN d e ON e.doc_id = d.doc_id + 1 AND e.lang = d.lang),
-q AS (SELECT doc_id, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i, x, y FROM p),
-s AS (SELECT doc_id, i, CASE WHEN x[i] = y[i] THEN '=' || x[i] WHEN x[i] IS NULL THEN '+' || y[i] WHEN y[i] IS NULL THEN '-' || x[i] ELSE '-' || x[i] || chr(10) || '+' || y[i] END AS part FROM q)
-SELECT doc_id, string_agg(part, chr(10) ORDER BY i) AS diff FROM s GROUP BY doc_id
-""",
-    ),
     "word_diff_whole": (
         word_diff_whole,
         f"""
@@ -112,3 +94,5 @@ SELECT p.doc_id, coalesce(diff, '') AS diff FROM p LEFT JOIN g ON g.doc_id = p.d
 """,
     ),
 }
+#: The same query by its former name.
+QUERIES["word_diff_positional"] = QUERIES["word_diff_whole"]

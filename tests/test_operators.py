@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliodiff.operators import fields, grouping, items, layout, residue, rules, sheets, text_diff
+from foliodiff.operators import fields, grouping, items, layout, report, residue, rules, sheets, text_diff
 
 ITEM = "pair_id long, idx int, kind string, label string, value string"
 
@@ -76,6 +76,43 @@ def test_fields_over_versions(spark):
     assert [(r.key, list(r.kinds)) for r in got.orderBy("key").collect()] == [("gone", ["unchanged", "removed"]), ("manager", ["unchanged", "changed"])]
 
 
+def test_fields_without_a_reference_value(spark):
+    schema = "group_id long, version int, ord int, label string, value string"
+    # only one version has the field: noise; two versions that disagree: a difference; an extra numbered record: a difference
+    data = [(1, 1, 0, "Only", "v1"), (2, 1, 0, "Both", "x"), (2, 2, 0, "Both", "y"), (3, 1, 0, "Contact #2", "z"), (4, 0, 0, "Contact #2", "a"), (4, 1, 0, "Contact #2", "a"), (4, 2, 0, "Contact #2", "a"), (4, 1, 1, "Contact #2", "b")]
+    got = fields.compare_versions(spark.createDataFrame(data, schema), 3)
+    assert rows(got, "group_id", F.array_join("texts", "|")) == [(2, "x|y"), (3, "z|")]
+    assert fields.compare_versions(spark.createDataFrame([], schema), 3).count() == 0
+
+
+def test_text_entries(spark):
+    lines = ["Total: 5", "  ", None, "A plain line", "Owner = Kim", "1. not a field: no", "Owner: Lee"]
+    got = fields.text_entries(spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(lines)], "doc long, line_no int, line string"))
+    assert rows(got, "ord", "key", "label", "value") == [
+        (1, "total", "Total", "5"), (4, "text#0", "Text · Line 4", "A plain line"), (5, "owner", "Owner", "Kim"), (6, "text#1", "Text · Line 6", "1. not a field: no"), (7, "owner", "Owner", "Lee"),
+    ]
+
+
+def test_sheet_presence_and_headers(spark):
+    def sheets_of(*names):
+        return spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "doc long, pos int, sheet string")
+
+    assert rows(fields.sheet_presence(sheets_of("A", "B", "C"), sheets_of("A", "X")), "difference_type", "sheet", "other") == [("sheet_removed", "C", ""), ("sheet_renamed", "B", "X")]
+    assert rows(fields.sheet_presence(sheets_of("A", "B"), sheets_of("B")), "difference_type", "sheet", "other") == [("sheet_renamed", "A", "B")]
+    assert rows(fields.sheet_presence(sheets_of("A"), sheets_of("A", "B")), "difference_type", "sheet") == [("sheet_added", "B")]
+    assert fields.sheet_presence(sheets_of("A"), sheets_of("A").limit(0)).count() == 0
+    ref, ver = cells(spark, [["Metric", "Amount", "7", ""], ["a", "b"]]), cells(spark, [["Metric", "Value", "8", "New"], ["x", "y"]])
+    assert rows(fields.header_changes(ref, ver), "c", "old", "new") == [(1, "Amount", "Value")]
+
+
+def test_severities_of_all_types(spark):
+    code, severity = report.code_and_severity(F.col("x"))
+    kinds = spark.createDataFrame([(x,) for x in ("font_mismatch", "image_removed", "exact_match", "something_new")], "x string")
+    assert rows(kinds.select("x", code.alias("c"), severity.alias("s")), "x", "c", "s") == [
+        ("exact_match", "MATCH", "Low"), ("font_mismatch", "FONT_MISMATCH", "Low"), ("image_removed", "IMAGE_REMOVED", "High"), ("something_new", "SOMETHING_NEW", "Medium"),
+    ]
+
+
 def test_grouping(spark):
     files = [f"Package 1/Non-Phi/{n}" for n in ("salesreport_2608041001.docx", "salesreport_2608041000.docx", "SalesReport_v10.docx", "salesreport_v9.csv", "customer_report.docx", "note.txt")]
     manifest = spark.createDataFrame([(f, 1, False) for f in files], "path string, size long, failed boolean")
