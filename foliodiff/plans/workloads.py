@@ -23,8 +23,17 @@ _ATTRIBUTES = (
 )
 _FROM = "FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey"
 
-#: Named values of a customer, one row an attribute: a baseline document for each pair.
-ITEMS_BASE = "\nUNION ALL\n".join(f"SELECT c.c_custkey AS pair_id, {i} AS idx, 'field_value' AS kind, {label} AS label, {value} AS value {_FROM}" for i, label, value in _ATTRIBUTES)
+
+
+def _case(column: str, cases: list[tuple[int | str, str]]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {k} THEN {x}" for k, x in cases) + " END"
+
+
+#: Named values of a customer, one row an attribute: a baseline document for each pair. One scan; EACH_n() numbers rows from 0.
+ITEMS_BASE = f"""
+SELECT pair_id, idx, 'field_value' AS kind, {_case("idx", [(i, label) for i, label, _ in _ATTRIBUTES])} AS label, {_case("idx", [(i, f"v{i}") for i, _, _ in _ATTRIBUTES])} AS value
+FROM (SELECT c.c_custkey AS pair_id, {", ".join(f"{value} AS v{i}" for i, _, value in _ATTRIBUTES)}, EACH_4() AS idx {_FROM}) each_attribute
+"""
 
 #: The same, with values changed, dropped, added, and recased by rules on the keys.
 ITEMS_COMP = f"""
@@ -46,10 +55,11 @@ _CELLS = "SELECT o_custkey AS doc, 0 AS sheet_idx, 'Orders' AS sheet, CAST(row_n
 _COLUMNS = ((0, "'Order'", "CAST(o_orderkey AS STRING)"), (1, "'Status'", "o_orderstatus"), (2, "'Priority'", "o_orderpriority"), (3, "'Total Price'", "price"))
 
 #: Spreadsheet cells: a header row, then the customer's orders; 0-based rows and columns.
-CELLS_REF = "\nUNION ALL\n".join(
-    [f"SELECT doc, sheet_idx, sheet, r, {c} AS c, {value} AS value FROM ({_CELLS}) t" for c, _, value in _COLUMNS]
-    + [f"SELECT DISTINCT doc, sheet_idx, sheet, 0 AS r, {c} AS c, {head} AS value FROM ({_CELLS}) t" for c, head, _ in _COLUMNS]
-)
+CELLS_REF = f"""
+SELECT doc, sheet_idx, sheet, r, c, {_case("c", [(c, value) for c, _, value in _COLUMNS])} AS value FROM (SELECT t.*, EACH_4() AS c FROM ({_CELLS}) t) each_cell
+UNION ALL SELECT doc, sheet_idx, sheet, 0 AS r, c, {_case("c", [(c, head) for c, head, _ in _COLUMNS])} AS value
+FROM (SELECT doc, sheet_idx, sheet, EACH_4() AS c FROM (SELECT DISTINCT o_custkey AS doc, 0 AS sheet_idx, 'Orders' AS sheet FROM {{orders}}) d) each_head
+"""
 
 #: The same sheets in another version: cells changed and emptied, rows dropped and added, a header renamed.
 CELLS_VER = f"""
@@ -81,9 +91,11 @@ def tables_in(sql: str) -> set[str]:
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The relation over the Parquet tables of sf_dir."""
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_in(sql)})
+    numbered = re.sub(r"EACH_(\d+)\(\)", lambda m: f"explode(sequence(0, {int(m[1]) - 1}))", sql)
+    return spark.sql(numbered, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_in(sql)})
 
 
 def oracle(sql: str) -> str:
     """The relation as DuckDB text, in parentheses."""
-    return "(" + re.sub(r"{(\w+)}", r"\1", sql) + ")"
+    numbered = re.sub(r"EACH_(\d+)\(\)", lambda m: f"CAST(unnest(range({m[1]})) AS INT)", sql)
+    return "(" + re.sub(r"{(\w+)}", r"\1", numbered) + ")"
