@@ -228,6 +228,10 @@ def test_pipeline_stages(spark, docs):
     assert 0 < at.count() < docs.count()
     packed = cp.run(spark, folder)
     assert packed.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
+    none = tempfile.mkdtemp(prefix="foliodiff-test-")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert cp.run(spark, none).count() == 0
 
 
 def test_awkward_tables(spark, awkward):
