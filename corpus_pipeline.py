@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 documents. run() writes every stage as Parquet and reads it back, so that no stage's work is repeated.
+
+Null and empty texts pass where the classifier keeps them, and pack as one piece each, the end mark; texts of any length are handled whole; of repeated
+rows with words one stays; an empty table gives no rows. Columns are those of documents, by name.
 """
 
 from __future__ import annotations
@@ -49,7 +52,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: No SQL: the classifier and the packer are iterative; tests hold every stage against a brute-force version.
+#: No SQL: the classifier and the packer are iterative. Tests hold line dedup, near dedup and decontamination against brute force, the
+#: classifier against held-out labels and the packing against its invariants.
 ORACLE_SQL = None
 
 
