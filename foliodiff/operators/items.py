@@ -32,8 +32,12 @@ def extract_pair(line: Column) -> Column:
 
 
 def deduplicate(items: DataFrame) -> DataFrame:
-    """Of field values, the shortest of each key, first on ties; of other kinds, the first of each key and normalised value."""
-    items = items.withColumn("key", normalize_key(F.col("label")))
+    """Of field values, the shortest of each key, first on ties; of other kinds, the first of each key and normalised value.
+
+    Items may bring their key; without one it is the normalised label.
+    """
+    if "key" not in items.columns:
+        items = items.withColumn("key", normalize_key(F.col("label")))
     same = F.when(F.col("kind") == "field_value", F.lit("")).otherwise(normalize_text(F.col("value")))
     size = F.when(F.col("kind") == "field_value", F.length("value")).otherwise(0)
     best = items.groupBy("pair_id", "kind", "key", same.alias("_same")).agg(F.min(F.struct(size.alias("size"), "idx", "label", "value")).alias("best"))
