@@ -116,7 +116,8 @@ def match_residue(base: DataFrame, comp: DataFrame) -> DataFrame:
 
     def shaped(side: DataFrame) -> DataFrame:
         value = F.coalesce("value", F.lit(""))
-        return side.select("pair_id", "idx", "kind", normalize_key(F.col("label")).alias("key"), value.alias("value"), F.lower(normalize_text(value)).alias("low"), equality_key(value).alias("eq"))
+        # pair_id anew: both sides may come from one frame, and a cogroup of one column with itself is ambiguous.
+        return side.select(F.col("pair_id").alias("pair_id"), "idx", "kind", normalize_key(F.col("label")).alias("key"), value.alias("value"), F.lower(normalize_text(value)).alias("low"), equality_key(value).alias("eq"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pair = (left if len(left) else right)["pair_id"].iloc[0]
