@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -194,6 +195,57 @@ def test_packing_prefers_the_fullest_bin():
     assert packing.pack_lengths([3], (4, 16)) == [(0, 4, 0)]
 
 
+def packed_plainly(lengths, sizes):
+    """pack_lengths by looking at every open bin and every piece that is left."""
+    bins, placed = [], []  # a bin: [room, when its room was last set, tokens in it]
+    for k, n in enumerate(lengths):
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            found = min(fits, key=lambda b: (b[0], -b[1]))
+        else:
+            gain = {}
+            for c in sizes:
+                if c >= n:
+                    room = c - n
+                    for m in lengths[k + 1 :]:
+                        if m <= room:
+                            room -= m
+                    gain[c] = packing.cost(c) / (c - room)
+            size = min(gain, key=lambda c: (gain[c], c))
+            found = [size, 0, 0]
+            bins.append(found)
+        placed.append((bins.index(found) if found[2] else len(bins) - 1, found[2]))
+        found[0], found[1], found[2] = found[0] - n, k + 1, found[2] + n
+    return [(b, min(c for c in sizes if c >= bins[b][2]), o) for b, o in placed]
+
+
+def test_packing_equals_the_plain_search():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = sorted(rng.sample(range(4, 60), rng.randint(1, 4)))
+        lengths = sorted((rng.randint(1, sizes[-1]) for _ in range(rng.randint(0, 40))), reverse=True)
+        assert packing.pack_lengths(lengths, sizes) == packed_plainly(lengths, sizes)
+
+
+def test_packed_texts_round_trip(docs, texts):
+    packed = packing.pack(docs, capacities=(64, 128, 512), shard=40)
+    ends = collections.Counter(" ".join(words(t)) for _, t in texts if len(words(t)) < 512)
+    found = collections.Counter()
+    rows = packing.bin_texts(docs, packed, capacities=(64, 128, 512)).collect()
+    assert sum(len(words(r.text)) for r in rows) == sum(len(words(t)) for _, t in texts)
+    for r in rows:
+        assert r.n_tokens == len(words(r.text)) + r.text.count("\n") <= r.capacity
+        found.update(r.text.split("\n")[:-1] if r.text.endswith("\n") else r.text.split("\n"))
+    assert all(found[t] >= n for t, n in ends.items())
+
+
+def test_packing_shards_by_pieces(spark):
+    one = spark.createDataFrame([(1, "a b c d e f g " * 3000)], "doc_id long, text string")
+    rows = packing.pack(one, capacities=(4,), shard=1000).collect()
+    assert len(rows) == 5251 and sum(r.n_tokens for r in rows) == 21001
+    assert len({r.bin_id >> 32 for r in rows}) == 6
+
+
 def test_packing_awkward(docs, awkward):
     assert packing.pack(awkward).count() == awkward.count()
     assert packing.pack(empty(docs)).count() == 0
