@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from foliodiff.functions.text import cell_address, column_letters, is_numeric, normalize_key
 
 SHEET = ["doc", "sheet_idx", "sheet"]
+BLANK = " \t\r\n\f\x0b"
+#: A row that may be a label, and one that states a field.
+LABEL_ROW = r"^[A-Za-z]+(?: [A-Za-z]+)*$"
+COLON_ROW = r"^([A-Za-z][A-Za-z0-9 _/().&'*-]+?)[ \t]*:[ \t]*(.+)$"
 
 
 def filled(cells: DataFrame) -> DataFrame:
@@ -83,3 +87,46 @@ def align_sheets(ref: DataFrame, ver: DataFrame) -> DataFrame:
     placed = left.join(free.withColumnRenamed("at", "sheet_idx"), ["doc", "sheet_idx"], "left")
     how = F.when(F.col("other").isNull(), "removed").otherwise("renamed")
     return named.select("doc", "sheet", "other", F.lit("same").alias("how")).union(placed.select("doc", "sheet", F.coalesce("other", F.lit("")).alias("other"), how.alias("how")))
+
+
+def pair_table_items(cells: DataFrame) -> DataFrame:
+    """(sheet, r, key, label, value) of sheets headed `Field`, `Value`: one field a row whose first two cells are filled.
+
+    The header's case does not matter. Cells are trimmed; empty and null ones are no cells. Other sheets give nothing.
+    """
+    some = filled(cells).filter("c < 2").withColumn("value", F.btrim("value", F.lit(BLANK)))
+    rows = some.groupBy(*SHEET, "r").agg(F.max(F.when(F.col("c") == 0, F.col("value"))).alias("label"), F.max(F.when(F.col("c") == 1, F.col("value"))).alias("value"))
+    headed = rows.filter((F.col("r") == 0) & (F.lower("label") == "field") & (F.lower("value") == "value")).select(*SHEET)
+    pairs = rows.filter("r > 0 AND label IS NOT NULL AND value IS NOT NULL").join(headed, SHEET, "left_semi")
+    return pairs.select(*SHEET, "r", normalize_key(F.col("label")).alias("key"), "label", "value")
+
+
+def single_column_items(cells: DataFrame) -> DataFrame:
+    """(sheet, r, kind, key, label, value) of sheets with cells in the first column only.
+
+    A short row of letters and the row just below it, if short and without colon and pipe, are a field; rows are paired from
+    the top, so in a run of rows that may all be labels every other one is. Of other rows, `Label: value` is a field, and
+    the rest are cells known by address. Windows over one sheet's filled rows, no Python.
+    """
+    some = filled(cells).withColumn("value", F.btrim("value", F.lit(BLANK)))
+    narrow = some.groupBy(*SHEET).agg(F.max("c").alias("last")).filter("last = 0").select(*SHEET)
+    rows = some.join(narrow, SHEET, "left_semi")
+    w = W.partitionBy(*SHEET).orderBy("r")
+    below = F.when(F.lead("r").over(w) == F.col("r") + 1, F.lead("value").over(w))
+    may_value = (F.length(below) < 50) & ~below.contains(":") & ~below.contains("|")
+    starts = F.coalesce((F.length("value") < 30) & F.col("value").rlike(LABEL_ROW) & may_value, F.lit(False))
+    marked = rows.withColumns({"_below": below, "_starts": starts})
+    fresh = ~F.col("_starts") | ~F.coalesce(F.lag("_starts").over(w) & (F.lag("r").over(w) == F.col("r") - 1), F.lit(False))
+    run = marked.withColumn("_run", F.sum(fresh.cast("int")).over(w))
+    nth = F.row_number().over(W.partitionBy(*SHEET, "_run").orderBy("r"))
+    picked = run.withColumn("_label", F.col("_starts") & (nth % 2 == 1))
+    used = F.coalesce(F.lag("_label").over(w) & (F.lag("r").over(w) == F.col("r") - 1), F.lit(False))
+    left = picked.withColumn("_used", used).filter("NOT _used")
+    colon = ~F.col("_label") & F.col("value").rlike(COLON_ROW)
+    label = F.when(F.col("_label"), F.col("value")).when(colon, F.btrim(F.regexp_extract("value", COLON_ROW, 1), F.lit(BLANK)))
+    value = F.when(F.col("_label"), F.col("_below")).when(colon, F.btrim(F.regexp_extract("value", COLON_ROW, 2), F.lit(BLANK))).otherwise(F.col("value"))
+    is_field = F.col("_label") | colon
+    return left.select(
+        *SHEET, "r", F.when(is_field, "field_value").otherwise("table_cell").alias("kind"), F.when(is_field, normalize_key(label)).otherwise(F.concat(F.lit("cell_"), "r", F.lit("_0"))).alias("key"),
+        F.coalesce(label, cell_address(F.col("r"), F.col("c"))).alias("label"), value.alias("value"),
+    )
