@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliodiff.functions.names import natural_key
+from foliodiff.functions.text import humanize, one_line
+
 #: Audit code and severity of each difference type.
 TYPES = {
     "cell_changed": ("VALUE_MISMATCH", "Medium"),
@@ -112,3 +115,40 @@ def visible_counts(found: DataFrame) -> DataFrame:
     """(report, n_all, n_ignored, n_visible)."""
     ignored = F.count_if(F.col("status") == "Ignored")
     return found.groupBy("report").agg(F.count("*").alias("n_all"), ignored.alias("n_ignored"), (F.count("*") - ignored).alias("n_visible"))
+
+
+ROOT = "(root)"
+
+
+def report_model(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row an issue, with its place in the hierarchy: found are issues with group_id and group_label, groups
+    (group_id, account, package_name, category, stem), one row a group.
+
+    An issue of an unknown group stands under the root and is named by its own label. Texts are one line each: 120
+    characters of the baseline, 160 of the other version. One join by group, many issues to one group.
+    """
+    placed = found.join(groups.select("group_id", *(F.col(c).alias(f"_{c}") for c in ("account", "package_name", "category", "stem"))), "group_id", "left")
+    return placed.select(
+        F.coalesce("_account", F.lit(ROOT)).alias("account"), F.coalesce("_package_name", F.lit(ROOT)).alias("package_name"), F.coalesce("_category", F.lit("")).alias("category"),
+        humanize(F.coalesce("_stem", "group_label")).alias("report_name"), "group_id", "diff_id", "location_label", "code", "severity", "status",
+        one_line(F.col("reference_text"), 120).alias("baseline"), one_line(F.col("version_text"), 160).alias("different"), "description",
+    )
+
+
+def report_tree(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row a report (group) with issues or without: its place, its issues, the issues of its package and account, and
+    its position in each in natural order.
+
+    A package without a name is the root one. all_matched: no issue of the report is reported. Issues of unknown groups have
+    no report. Issues are counted by group before any other shuffle, so that only rows of groups are sorted.
+    """
+    counts = found.groupBy("group_id").agg(F.count("*").alias("n_issues"), F.count_if(F.col("status") == "Reported").alias("n_reported"))
+    package = F.when(F.coalesce("package_name", F.lit("")) == "", ROOT).otherwise(F.col("package_name"))
+    reports = groups.join(counts, "group_id", "left").na.fill(0, ["n_issues", "n_reported"]).select("group_id", "account", package.alias("package"), "category", humanize(F.col("stem")).alias("report_name"), "n_issues", "n_reported")
+    packages = reports.groupBy("account", "package").agg(F.sum("n_issues").alias("package_issues"))
+    accounts = packages.groupBy("account").agg(F.sum("package_issues").alias("account_issues"))
+    at_account = accounts.withColumn("account_position", F.row_number().over(W.orderBy(natural_key(F.col("account")), "account")))  # one row an account
+    at_package = packages.withColumn("package_position", F.row_number().over(W.partitionBy("account").orderBy(natural_key(F.col("package")), "package")))
+    position = F.row_number().over(W.partitionBy("account", "package").orderBy(natural_key(F.col("report_name")), "report_name", "group_id"))
+    placed = reports.withColumn("report_position", position).join(at_package, ["account", "package"]).join(at_account, "account")
+    return placed.withColumn("all_matched", F.col("n_reported") == 0)
