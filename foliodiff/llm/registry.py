@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, factorisation, line_dedup, near_dedup, oracles, packing, pitman_yor, quality_rules, quotes, substring_dedup, url_filter
-from .common import table
+from . import content_sort, decontaminate, factorisation, line_dedup, near_dedup, oracles, packing, pitman_yor, quality_rules, quotes, runs, substring_dedup, turn_repair, url_filter
+from .common import stored, table
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    repaired = stored(turn_repair.repairs(turns))
+    digests = turn_repair.digests(turn_repair.repaired_turns(turns, repaired)).withColumnRenamed("conv_id", "conv")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    joined = repaired.join(digests, repaired["conv_id"].eqNullSafe(digests["conv"]), "left").drop("conv")
+    return joined.withColumn("repaired_sha256", F.coalesce("sha256", nothing)).drop("sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = content_sort.digests(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.looped(F.col("text"), number).alias("text"))
+    done = runs.collapse(docs).withColumn("best", runs.greatest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best")["length"] / F.col("best")["period"]).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quotation_linking": op1_quotation_linking,
@@ -75,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
+        "op11_structure_repair": op11_structure_repair,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -88,5 +120,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": oracles.NEAR_DEDUP,
         "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op10_url_filter": oracles.URL_FILTER,
+        "op12_exact_dedup": content_sort.SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
