@@ -14,6 +14,8 @@ NUMBER = "^([A-Za-z]{3,30})[ \t]([ \t]*[0-9][0-9,.:/-]*)$"
 SHORT_WORDS = "^[A-Za-z][A-Za-z ]{0,4}$"
 LABEL = "^[A-Za-z][A-Za-z ]{1,29}$"
 COLUMN_NAME = "^[A-Za-z][A-Za-z ]{0,9}$"
+#: Stands between field and value while a segment is cut; no segment that states a field begins with it.
+MARK = "\x01"
 
 
 def trim(x: Column) -> Column:
@@ -32,18 +34,22 @@ def cells_of(line: Column) -> Column:
 def segment_pair(segment: Column) -> Column:
     """struct<field, value> of one trimmed segment: `Field: v`, `Field = v`, `Field   v`, `Field 12`; else null.
 
-    A value with a pipe after a colon is none. Two short words with a gap are column names, not a field.
+    A value with a pipe after a colon is none. Two short words with a gap are column names, not a field. Each notation is one
+    pass: a segment that has it becomes field and value with MARK between them, any other stays as it is.
     """
-    def found(form: str) -> Column:
-        return pair(trim(F.regexp_extract(segment, form, 1)), trim(F.regexp_extract(segment, form, 2)))
 
-    names = F.regexp_extract(segment, GAP, 1).rlike(SHORT_WORDS) & trim(F.regexp_extract(segment, GAP, 2)).rlike(SHORT_WORDS)
-    return (
-        F.when(segment.rlike(COLON), F.when(~trim(F.regexp_extract(segment, COLON, 2)).contains("|"), found(COLON)))
-        .when(segment.rlike(EQUALS), found(EQUALS))
-        .when(segment.rlike(GAP) & ~names, found(GAP))
-        .when(segment.rlike(NUMBER), found(NUMBER))
-    )
+    def halves(form: str) -> Column:
+        return F.split(F.regexp_replace(segment, form, f"{MARK}$1{MARK}$2"), MARK, 3)
+
+    def found(x: Column) -> Column:
+        stated = (F.size(x) == 3) & (F.get(x, F.lit(0)) == "") & ~segment.startswith(MARK)
+        return F.when(stated, pair(trim(F.get(x, F.lit(1))), trim(F.get(x, F.lit(2)))))
+
+    stated = F.transform(F.array(*(halves(form) for form in (COLON, EQUALS, GAP, NUMBER))), found)
+    colon, gap = F.get(stated, F.lit(0)), F.get(stated, F.lit(2))
+    names = gap["field"].rlike(SHORT_WORDS) & gap["value"].rlike(SHORT_WORDS)
+    numbered = F.transform(stated, lambda p, i: F.when((i == 0) | (i == 2) & names, None).otherwise(p))
+    return F.when(colon.isNotNull(), F.when(~colon["value"].contains("|"), colon)).otherwise(F.get(F.filter(numbered, lambda p: p.isNotNull()), F.lit(0)))
 
 
 def with_pairs(lines: DataFrame, line: Column, name: str) -> DataFrame:
@@ -56,7 +62,8 @@ def with_pairs(lines: DataFrame, line: Column, name: str) -> DataFrame:
     """
     steps = lines.withColumn("_text", F.replace(trim(line), F.lit("\t"), F.lit(" | ")))
     steps = steps.withColumn("_parts", F.filter(cells_of(F.col("_text")), lambda p: p != ""))
-    steps = steps.withColumn("_each", F.transform("_parts", segment_pair)).withColumn("_alone", segment_pair(F.col("_text")))
+    steps = steps.withColumn("_all", F.transform(F.concat(F.array("_text"), "_parts"), segment_pair))
+    steps = steps.withColumn("_alone", F.get("_all", F.lit(0))).withColumn("_each", F.slice("_all", F.lit(2), F.size("_parts")))
     parts, own = F.col("_parts"), F.get("_each", F.lit(0))
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     each = F.filter("_each", lambda p: p.isNotNull())
@@ -66,4 +73,4 @@ def with_pairs(lines: DataFrame, line: Column, name: str) -> DataFrame:
     names = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(COLUMN_NAME))
     single = F.when(F.col("_text").contains("|") & (F.size(parts) == 1), F.coalesce(own, F.col("_alone"))).otherwise(F.col("_alone"))
     found = F.when((F.size(parts) >= 2) & ~names, F.when(first.contains(":"), with_colon).otherwise(without)).when(single.isNotNull(), F.array(single))
-    return steps.withColumn(name, F.coalesce(found, F.slice(each, 1, 0))).drop("_text", "_parts", "_each", "_alone")
+    return steps.withColumn(name, F.coalesce(found, F.slice(each, 1, 0))).drop("_text", "_parts", "_all", "_each", "_alone")
