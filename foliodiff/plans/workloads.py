@@ -1,4 +1,7 @@
-"""Relations derived from the star schema, as SQL that Spark and DuckDB both run. Tables are written {customer}."""
+"""Relations derived from the star schema, as SQL that Spark and DuckDB both run. Tables are written {customer}.
+
+EACH_n() numbers n rows from 0; LISTED[[a, b, c]] AS i, x makes a row of each expression and numbers it.
+"""
 
 from __future__ import annotations
 
@@ -92,10 +95,12 @@ def tables_in(sql: str) -> set[str]:
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The relation over the Parquet tables of sf_dir."""
     numbered = re.sub(r"EACH_(\d+)\(\)", lambda m: f"explode(sequence(0, {int(m[1]) - 1}))", sql)
+    numbered = re.sub(r"LISTED\[\[(.*?)\]\] AS (\w+), (\w+)", r"posexplode(array(\1)) AS (\2, \3)", numbered, flags=re.S)
     return spark.sql(numbered, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_in(sql)})
 
 
 def oracle(sql: str) -> str:
     """The relation as DuckDB text, in parentheses."""
     numbered = re.sub(r"EACH_(\d+)\(\)", lambda m: f"CAST(unnest(range({m[1]})) AS INT)", sql)
+    numbered = re.sub(r"LISTED\[\[(.*?)\]\] AS (\w+), (\w+)", r"CAST(generate_subscripts([\1], 1) - 1 AS INT) AS \2, unnest([\1]) AS \3", numbered, flags=re.S)
     return "(" + re.sub(r"{(\w+)}", r"\1", numbered) + ")"
