@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliodiff.functions.text import aggressive, normalize_key, tokens
-from foliodiff.operators.tokens import gathers
 
 #: Kinds that are known by a key, kinds that are cells, and kinds that are running text.
 KEYED = ("key_value", "heading", "table_cell", "table_header")
@@ -31,23 +30,26 @@ def _pair_up(items: DataFrame, phase: str, key: str, eligible: Column) -> DataFr
 
 
 def _gather(items: DataFrame) -> DataFrame:
-    """The first running text of a side that says what all open cells of the other side hold takes all of them."""
-    is_open = F.col("match").isNull()
-    some = lambda side, kinds: F.array_sort(F.collect_list(F.when(is_open & (F.col("side") == side) & F.col("kind").isin(*kinds), F.struct("idx", F.coalesce("value", F.lit("")).alias("value")))))
-    lists = items.groupBy("pair_id").agg(*(some(s, k).alias(f"{s}_{n}") for s in ("base", "comp") for n, k in (("prose", PROSE), ("cells", CELLS))))
+    """The first running text of a side that says what all open cells of the other side hold takes all of them.
 
-    def first(side: str, other: str) -> Column:
-        cells = F.transform(f"{other}_cells", lambda c: c["value"])
-        says = F.filter(f"{side}_prose", lambda p: gathers(p["value"], cells))
-        return F.when(F.size(f"{other}_cells") > 0, F.get(says, F.lit(0))["idx"])
-
-    found = lists.select("pair_id", first("base", "comp").alias("_base"), first("comp", "base").alias("_comp"))
-    joined = items.join(found, "pair_id")
-    side, cell, prose = F.col("side"), F.col("kind").isin(*CELLS), F.col("kind").isin(*PROSE)
-    by_base = is_open & F.col("_base").isNotNull() & (((side == "base") & prose & (F.col("idx") == F.col("_base"))) | ((side == "comp") & cell))
-    by_comp = is_open & F.col("_comp").isNotNull() & (((side == "comp") & prose & (F.col("idx") == F.col("_comp"))) | ((side == "base") & cell))
-    match = F.when(by_base, "base gathers").when(by_comp, "comp gathers").otherwise(F.col("match"))
-    phase = F.when(by_base | by_comp, "gathered").otherwise(F.col("phase"))
+    What cells hold are the words of their labels and values. The text has no other words, at least as many words as cells have different ones, and at most
+    twice as many. Every word of a text is looked up among the words of the cells it faces: one pass over words, whatever the number of texts.
+    """
+    open_ = items.filter("match IS NULL")
+    cell = F.col("kind").isin(*CELLS)
+    facing = F.when(cell, F.when(F.col("side") == "base", "comp").otherwise("base")).otherwise(F.col("side"))
+    held, said = F.array_distinct(F.concat(tokens(F.col("label")), tokens(F.coalesce("value", F.lit(""))))), tokens(F.coalesce("value", F.lit("")))
+    words = open_.filter(F.col("kind").isin(*CELLS, *PROSE)).select("pair_id", facing.alias("side"), "idx", cell.alias("cell"), F.explode(F.when(cell, held).otherwise(said)).alias("word"))
+    same = W.partitionBy("pair_id", "side", "word")
+    known = words.withColumns({"known": F.max("cell").over(same), "new": F.col("cell") & (F.row_number().over(same.orderBy(F.desc("cell"))) == 1)})
+    counted = known.withColumn("n_held", F.count_if(F.col("new")).over(W.partitionBy("pair_id", "side"))).filter("NOT cell")
+    texts = counted.groupBy("pair_id", "side", "idx").agg(F.count("*").alias("n"), F.min("known").alias("known"), F.first("n_held").alias("n_held")).filter("known AND n BETWEEN n_held AND 2 * n_held")
+    first = lambda s: F.min(F.when(F.col("side") == s, F.col("idx"))).alias(f"_{s}")
+    joined = items.join(texts.groupBy("pair_id").agg(first("base"), first("comp")), "pair_id", "left")
+    side, prose, is_open = F.col("side"), F.col("kind").isin(*PROSE), F.col("match").isNull()
+    by = lambda s: is_open & F.col(f"_{s}").isNotNull() & (((side == s) & prose & (F.col("idx") == F.col(f"_{s}"))) | ((side != s) & cell))
+    match = F.when(by("base"), "base gathers").when(by("comp"), "comp gathers").otherwise(F.col("match"))
+    phase = F.when(by("base") | by("comp"), "gathered").otherwise(F.col("phase"))
     told = joined.withColumns({"_m": match, "_p": phase})
     return told.withColumns({"match": F.col("_m"), "phase": F.col("_p")}).drop("_m", "_p", "_base", "_comp")
 

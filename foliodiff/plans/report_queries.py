@@ -44,19 +44,43 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.select("head", "name", "n", F.row_number().over(W.partitionBy("head").orderBy("k", "name")).cast("int").alias("position"))
 
 
-def _elements(spark: SparkSession, sf_dir: str, relation: str, prose: str) -> DataFrame:
-    """Elements of a relation of items: every third pair's customer in running text, and a row that says all."""
-    items = w.frame(spark, sf_dir, relation)
-    text = (F.col("pair_id") + F.col("idx")) % 3 == 0
-    each = items.select("pair_id", "idx", F.when(text, "prose").otherwise("key_value").alias("kind"), F.when(text, F.lit("")).otherwise(F.col("label")).alias("label"), F.when(text, F.concat_ws(" ", "value", "label")).otherwise(F.col("value")).alias("value"))
-    return each.filter(prose)
+#: Elements of customers: a third of the attributes is running text, worded the other way round in the other version; in every fourth
+#: pair the baseline is one line that says what the fields of the other version hold. Some fields have another name there.
+_TEXT = "(pair_id + idx) % 3 = 0"
+_SECOND = f"SELECT pair_id, idx, CASE WHEN {_TEXT} THEN 'prose' ELSE 'key_value' END AS kind, CASE WHEN {_TEXT} THEN '' WHEN (3 * pair_id + idx) % 11 = 0 THEN 'Renamed' ELSE label END AS label, CASE WHEN {_TEXT} THEN concat(label, ' ', value) ELSE value END AS value FROM ({w.ITEMS_COMP}) c"
+_FIRST = f"""
+SELECT pair_id, idx, CASE WHEN {_TEXT} THEN 'prose' ELSE 'key_value' END AS kind, CASE WHEN {_TEXT} THEN '' ELSE label END AS label, CASE WHEN {_TEXT} THEN concat(value, ' ', label) ELSE value END AS value FROM ({w.ITEMS_BASE}) b WHERE pair_id % 4 <> 1
+UNION ALL SELECT pair_id, 0, 'prose', '', concat_ws(' ', max(CASE WHEN idx = 0 THEN concat(label, ' ', value) END), max(CASE WHEN idx = 1 THEN concat(label, ' ', value) END), max(CASE WHEN idx = 2 THEN concat(label, ' ', value) END),
+  max(CASE WHEN idx = 3 THEN concat(label, ' ', value) END), max(CASE WHEN idx = 9 THEN concat(label, ' ', value) END)) FROM ({_SECOND}) w WHERE pair_id % 4 = 1 AND kind = 'key_value' GROUP BY pair_id
+"""
 
 
 def semantic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, comp = _elements(spark, sf_dir, w.ITEMS_BASE, "true"), _elements(spark, sf_dir, w.ITEMS_COMP, "true")
-    said = w.frame(spark, sf_dir, w.ITEMS_COMP).filter("pair_id % 4 = 1").groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "label", "value"))), " ").alias("value"))
-    whole = said.select("pair_id", F.lit(0).alias("idx"), F.lit("prose").alias("kind"), F.lit("").alias("label"), "value")
-    return semantic.match_elements(base.filter("pair_id % 4 <> 1").unionByName(whole), comp)
+    return semantic.match_elements(w.frame(spark, sf_dir, _FIRST), w.frame(spark, sf_dir, _SECOND))
+
+
+def _phase(n: int, source: str, key: str, kinds: str) -> str:
+    """Rank join of what source leaves open: r<n> ranks, m<n> pairs, o<n> what stays open."""
+    return f"""r{n} AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, {key} ORDER BY idx) AS k FROM {source} WHERE {kinds}),
+m{n} AS (SELECT b.pair_id, b.idx AS bi, c.idx AS ci, b.same = c.same AS eq FROM r{n} b JOIN r{n} c ON b.pair_id = c.pair_id AND b.{key} = c.{key} AND b.k = c.k WHERE b.side = 'base' AND c.side = 'comp'),
+o{n} AS (SELECT * FROM {source} s WHERE NOT EXISTS (SELECT 1 FROM m{n} m WHERE m.pair_id = s.pair_id AND CASE s.side WHEN 'base' THEN m.bi ELSE m.ci END = s.idx))"""
+
+
+_CELL, _KEYED, _RUNNING = "kind IN ('key_value', 'table_cell', 'table_header')", "kind IN ('key_value', 'heading', 'table_cell', 'table_header')", "kind IN ('prose', 'list_item')"
+_SEMANTIC = f"""
+WITH i AS (SELECT pair_id, 'base' AS side, idx, kind, label, value FROM {w.oracle(_FIRST)} UNION ALL SELECT pair_id, 'comp', idx, kind, label, value FROM {w.oracle(_SECOND)}),
+e AS (SELECT *, {sql.normalize_key('label')} AS key, {sql.aggressive('value')} AS same, {sql.token_key('value')} AS words, {sql.token_key('label')} AS names FROM i),
+{_phase(1, "e", "key", _KEYED)},
+{_phase(2, "o1", "same", "true")},
+held AS (SELECT pair_id, CASE side WHEN 'base' THEN 'comp' ELSE 'base' END AS side, list_distinct(flatten(list(names || words))) AS c FROM o2 WHERE {_CELL} GROUP BY ALL),
+says AS (SELECT o.pair_id, o.side, min(idx) AS idx FROM o2 o JOIN held h ON h.pair_id = o.pair_id AND h.side = o.side WHERE {_RUNNING} AND len(words) BETWEEN greatest(1, len(c)) AND 2 * len(c) AND len(list_filter(words, lambda x: NOT list_contains(c, x))) = 0 GROUP BY 1, 2),
+g AS (SELECT o.pair_id, o.side, o.idx, {_CELL} AS cell, s.idx AS by_idx FROM o2 o JOIN says s ON s.pair_id = o.pair_id AND ((o.side = s.side AND o.idx = s.idx) OR (o.side <> s.side AND {_CELL}))),
+o3 AS (SELECT * FROM o2 o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.pair_id = o.pair_id AND g.side = o.side AND g.idx = o.idx)),
+{_phase(4, "o3", "words", _RUNNING + " AND len(words) > 0")}
+{" UNION ALL ".join(f"SELECT pair_id, '{side}' AS side, {a} AS idx, '{name}' AS phase, {b} AS partner, CASE WHEN {n} > 1 OR eq THEN 'identical' ELSE 'changed' END AS status FROM m{n}" for n, name in ((1, 'key'), (2, 'value'), (4, 'tokens')) for side, a, b in (('base', 'bi', 'ci'), ('comp', 'ci', 'bi')))}
+UNION ALL SELECT pair_id, side, idx, 'gathered', CASE WHEN cell THEN by_idx END, 'identical' FROM g
+UNION ALL SELECT pair_id, side, idx, NULL, NULL, CASE side WHEN 'base' THEN 'missing' ELSE 'added' END FROM o4
+"""
 
 
 def text_nway_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +120,6 @@ QUERIES = {
         f"""WITH n AS (SELECT name, count(*) AS n, regexp_extract(name, '[a-z ]([0-9]+)', 1)::INT AS a, regexp_extract(name, '[0-9]([b.]?)[0-9]*$', 1) AS t, try_cast(regexp_extract(name, '[.]([0-9]+)$', 1) AS INT) AS b FROM {w.oracle(_NAMES)} GROUP BY ALL)
         SELECT left(name, 4) AS head, name, n, (row_number() OVER (PARTITION BY left(name, 4) ORDER BY a, t, b NULLS FIRST, name))::INT AS position FROM n""",
     ),
-    "semantic_match": (semantic_match, None),  # tested against a plain matcher
+    "semantic_match": (semantic_match, _SEMANTIC),
     "text_nway_diff": (text_nway_diff, None),  # shortest scripts: tested against plain rules
 }

@@ -44,7 +44,7 @@ def plain_match(base, comp):
     todo = []
     for side, mine, other, theirs in (("base", base, "comp", comp), ("comp", comp, "base", base)):
         cells = [j for j, (k, _, _) in enumerate(theirs) if k in semantic.CELLS and (other, j) not in found]
-        held = {t for j in cells for t in words(theirs[j][2])}
+        held = {t for j in cells for t in words(theirs[j][1]) + words(theirs[j][2])}
         for i, (k, _, value) in enumerate(mine):
             said = words(value)
             if k in semantic.PROSE and (side, i) not in found and cells and said and set(said) <= held and len(held) <= len(said) <= 2 * len(held):
@@ -63,11 +63,11 @@ def plain_match(base, comp):
 def test_matched_elements(spark):
     rng = random.Random(7)
     rows, want = {"base": [], "comp": []}, {}
-    for pair in range(150):
+    for pair in range(400):
         sides = {}
         for side in rows:
             n = rng.randrange(7)
-            sides[side] = [(rng.choice((*semantic.KEYED, *semantic.PROSE)), rng.choice(("Net sum", "net-sum", "Tax", None)), rng.choice(("a b", "B | a", "a", "c 1", "C-1", "c", "a b c 1", "1 c b a", "", None))) for _ in range(n)]
+            sides[side] = [(rng.choice((*semantic.KEYED, *semantic.PROSE)), rng.choice(("Net sum", "net-sum", "Tax", None)), rng.choice(("a b", "B | a", "a", "c 1", "C-1", "c", "a b c 1", "1 c b a", "tax a", "net sum c", "a b net sum tax", "", None))) for _ in range(n)]
             rows[side] += [(pair, i, *e) for i, e in enumerate(sides[side])]
         want |= {(pair, *at): v for at, v in plain_match(sides["base"], sides["comp"]).items()}
     got = semantic.match_elements(spark.createDataFrame(rows["base"], ELEMENT), spark.createDataFrame(rows["comp"], ELEMENT)).collect()
@@ -77,6 +77,18 @@ def test_matched_elements(spark):
     assert semantic.match_elements(none, none).count() == 0
 
 
+def test_gathered_cells_count_labels(spark):
+    """A line of a page says what a table's cells hold, names of fields too, in both directions."""
+    line, cells = ("prose", "", "Ward 12 Nurse Nurse Mira Shift Late"), [("key_value", "Ward", "12"), ("table_cell", "Nurse", "Nurse Mira"), ("key_value", "Shift", "Late")]
+    frame = lambda rows: spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], ELEMENT)
+    for base, comp in (([line], cells), (cells, [line])):
+        got = semantic.match_elements(frame(base), frame(comp)).collect()
+        assert {(r.phase, r.status) for r in got} == {("gathered", "identical")} and len(got) == 4
+    # one cell more than the line says, and a word that no cell holds
+    for base, comp in (([line], [*cells, ("key_value", "Bed", "7"), ("key_value", "Floor", "Upper Second")]), ([("prose", "", line[2] + " x")], cells)):
+        assert {r.phase for r in semantic.match_elements(frame(base), frame(comp)).collect()} == {None}
+
+
 def test_hunks():
     assert text_diff.hunks(list("abcd"), list("axyd")) == [(1, 3, ["x", "y"])]
     assert text_diff.hunks(list("ad"), list("abcd")) == [(1, 1, ["b", "c"])]
