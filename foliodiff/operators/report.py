@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliodiff.functions import names
 from foliodiff.functions.names import natural_key
 from foliodiff.functions.text import humanize, one_line
+from foliodiff.operators.grouping import default_baseline
+from foliodiff.operators.numbering import numbered
 
 #: Audit code and severity of each difference type.
 TYPES = {
@@ -62,26 +65,66 @@ def type_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("difference_type", "status").agg(F.count("*").alias("n"))
 
 
-def version_rows(groups: DataFrame, baselines: DataFrame) -> DataFrame:
-    """(dir, stem, version, file_name, role): V1.. in natural order; the baseline is the first version of the baseline's format."""
-    each = groups.select("dir", "stem", F.posexplode("comparable").alias("pos", "d")).select("dir", "stem", "pos", "d.file_name", "d.ext")
-    based = each.join(baselines, ["dir", "stem"])
-    first = based.filter(F.col("ext") == F.col("baseline")).groupBy("dir", "stem").agg(F.min("pos").alias("at"))
-    role = F.when(F.col("pos") == F.col("at"), "Baseline").otherwise("Compared")
-    return based.join(first, ["dir", "stem"]).select("dir", "stem", F.concat(F.lit("V"), (F.col("pos") + 1).cast("string")).alias("version"), "file_name", role.alias("role"))
+def version_rows(each: DataFrame) -> DataFrame:
+    """(dir, stem, version, file_name, role) of comparable versions (grouping.versions): V1.. in natural order; the baseline is the first version of the baseline's format."""
+    based = each.filter("place IS NOT NULL").join(default_baseline(each), ["dir", "stem"])
+    first = F.min(F.when(F.col("ext") == F.col("baseline"), F.col("place"))).over(W.partitionBy("dir", "stem"))
+    role = F.when(F.col("place") == first, "Baseline").otherwise("Compared")
+    return based.select("dir", "stem", F.concat(F.lit("V"), (F.col("place") + 1).cast("string")).alias("version"), "file_name", role.alias("role"))
 
 
 def usual_version_count(groups: DataFrame) -> DataFrame:
     """(n_versions, n_groups): the most frequent number of comparable versions; of several, the one seen first by folder and name."""
-    counts = groups.select(F.size("comparable").alias("n_versions"), F.struct("dir", "stem").alias("at")).groupBy("n_versions").agg(F.count("*").alias("n_groups"), F.min("at").alias("at"))
+    counts = groups.groupBy(F.col("n_comparable").alias("n_versions")).agg(F.count("*").alias("n_groups"), F.min(F.struct("dir", "stem")).alias("at"))
     return counts.orderBy(F.desc("n_groups"), "at").limit(1).select("n_versions", "n_groups")
 
 
-def run_stats(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of totals."""
-    files = docs.agg(F.count("*").alias("files"), F.sum((~F.col("failed")).cast("long")).alias("parsed"), F.sum(F.col("failed").cast("long")).alias("failed"), F.countDistinct("account").alias("accounts"))
-    some = groups.agg(F.count("*").alias("groups"), F.sum((F.size("comparable") >= 2).cast("long")).alias("comparable_groups"), F.sum(F.size("comparable")).alias("comparable_versions"))
-    return files.withColumn("one", F.lit(1)).join(some.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+def run_stats(docs: DataFrame, groups: DataFrame, diffs: DataFrame) -> DataFrame:
+    """One row: what a run saw and found. diffs has difference_type and status.
+
+    Each group of two comparable versions or more counts as two comparisons; matches are comparisons beyond the differences, at least 0. types maps each
+    difference type to its count. Every input is aggregated once, to a row or (types) one row a type.
+    """
+    files = docs.agg(F.count("*").alias("files"), F.count_if(~F.col("failed")).alias("parsed"), F.count_if("failed").alias("failed"), F.countDistinct("account").alias("accounts"))
+    some = groups.agg(F.count("*").alias("groups"), F.count_if(F.col("n_comparable") >= 2).alias("comparable_groups"))
+    by_type = diffs.groupBy("difference_type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "Ignored").alias("ignored"))
+    found = by_type.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("differences"), F.coalesce(F.sum("ignored"), F.lit(0)).alias("ignored"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("difference_type", "n")))).alias("types"))
+    row = files.crossJoin(some).crossJoin(found)  # one row each
+    comparisons = 2 * F.col("comparable_groups")
+    return row.select("files", "parsed", "failed", "accounts", "groups", "comparable_groups", comparisons.alias("comparisons"), "differences", F.greatest(comparisons - F.col("differences"), F.lit(0)).alias("matches"), "ignored", "types")
+
+
+def measured(df: DataFrame, metrics: Observation) -> DataFrame:
+    """df, which counts itself as it is computed: metrics.get has rows (and differences, where there is a difference_type) once an action has run. No second pass."""
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if "difference_type" in df.columns:
+        counts.append(F.count_if(F.col("difference_type").isNotNull()).alias("differences"))
+    return df.observe(metrics, *counts)
+
+
+def rates(n_files: int, n_differences: int, seconds: float) -> dict[str, float]:
+    """What a run took, from its own counts: total milliseconds, files and differences a second."""
+    safe = max(seconds, 1e-9)
+    return {"total_processing_ms": 1000 * seconds, "files_per_second": n_files / safe, "comparisons_per_second": n_differences / safe}
+
+
+def error_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(account, package, category, report, file, error_type, error_message) of files with an error.
+
+    docs are (path, error); groups (dir, account, package_name, category). A file stands where the nearest group folder at or above its own one stands, under the
+    root if there is none. Each file looks up the folders of its own path, one join on equal folders, and takes the longest that is known.
+    """
+    bad = docs.filter("error IS NOT NULL").select("path", "error", names.folder(F.col("path")).alias("dir"))
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    places = groups.select(F.col("dir").alias("folder"), "account", "package_name", "category").groupBy("folder").agg(F.min(F.struct("account", "package_name", "category")).alias("at"))
+    met = bad.select("path", F.explode(above).alias("folder")).join(places, "folder").groupBy("path").agg(F.max_by("at", F.length("folder")).alias("at"))
+    told = bad.join(met, "path", "left")
+    name = names.file_name(F.col("path"))
+    return told.select(
+        F.coalesce("at.account", F.lit(ROOT)).alias("account"), F.coalesce("at.package_name", F.lit(ROOT)).alias("package"), F.coalesce("at.category", F.lit("")).alias("category"),
+        names.split_version(name)["stem"].alias("report"), name.alias("file"), F.lit("ParseError").alias("error_type"), F.when(F.col("error") == "", "Unknown error").otherwise(F.col("error")).alias("error_message"),
+    )
 
 
 def account_breakdown(groups: DataFrame) -> DataFrame:
@@ -147,7 +190,7 @@ def report_tree(found: DataFrame, groups: DataFrame) -> DataFrame:
     reports = groups.join(counts, "group_id", "left").na.fill(0, ["n_issues", "n_reported"]).select("group_id", "account", package.alias("package"), "category", humanize(F.col("stem")).alias("report_name"), "n_issues", "n_reported")
     packages = reports.groupBy("account", "package").agg(F.sum("n_issues").alias("package_issues"))
     accounts = packages.groupBy("account").agg(F.sum("package_issues").alias("account_issues"))
-    at_account = accounts.withColumn("account_position", F.row_number().over(W.orderBy(natural_key(F.col("account")), "account")))  # one row an account
+    at_account = numbered(accounts, natural_key(F.col("account")), "account").withColumnRenamed("number", "account_position")
     at_package = packages.withColumn("package_position", F.row_number().over(W.partitionBy("account").orderBy(natural_key(F.col("package")), "package")))
     position = F.row_number().over(W.partitionBy("account", "package").orderBy(natural_key(F.col("report_name")), "report_name", "group_id"))
     placed = reports.withColumn("report_position", position).join(at_package, ["account", "package"]).join(at_account, "account")

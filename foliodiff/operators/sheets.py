@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,15 +78,117 @@ def cell_changes(ref: DataFrame, ver: DataFrame) -> DataFrame:
 
 
 def align_sheets(ref: DataFrame, ver: DataFrame) -> DataFrame:
-    """(doc, sheet, other, how) of every reference sheet: by name, else by position among sheets not yet taken, else none."""
-    a = ref.select(*SHEET).distinct()
-    b = ver.select("doc", F.col("sheet_idx").alias("at"), F.col("sheet").alias("other")).distinct()
-    named = a.join(b, (a["doc"] == b["doc"]) & (a["sheet"] == b["other"])).select(a["doc"], "sheet_idx", "sheet", "other", "at")
-    left = a.join(named.select(*SHEET), SHEET, "left_anti")
-    free = b.join(named.select("doc", "at"), ["doc", "at"], "left_anti")
-    placed = left.join(free.withColumnRenamed("at", "sheet_idx"), ["doc", "sheet_idx"], "left")
-    how = F.when(F.col("other").isNull(), "removed").otherwise("renamed")
-    return named.select("doc", "sheet", "other", F.lit("same").alias("how")).union(placed.select("doc", "sheet", F.coalesce("other", F.lit("")).alias("other"), how.alias("how")))
+    """(doc, sheet_idx, sheet, other_idx, other, how) of every reference sheet, and of sheets that the version has beyond them.
+
+    In the order of the reference, a sheet claims the first unclaimed sheet of its name, once a name, else the unclaimed one at its
+    position (`renamed` if the names differ), else none (`removed`). Version sheets that no one claimed are `added` if they stand behind as many sheets as the
+    reference has. So a sheet is claimed once, and of several sheets with one name each has its own row. The fold goes over the names of one workbook's sheets.
+    """
+    listed = lambda side, name: side.select(*SHEET).distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet"))).alias(name))
+    none = F.array().cast("array<struct<sheet_idx:int,sheet:string>>")
+    both = listed(ref, "own").join(listed(ver, "others"), "doc", "full_outer").select("doc", F.coalesce("own", none).alias("own"), F.coalesce("others", none).alias("others"))
+
+    def claim(state: Column, sheet: Column) -> Column:
+        free = F.filter("others", lambda o: ~F.array_contains(state["taken"], o["sheet_idx"]))
+        named = F.get(F.filter(free, lambda o: (o["sheet"] == sheet["sheet"]) & ~F.array_contains(state["names"], o["sheet"])), F.lit(0))
+        found = F.coalesce(named, F.get(F.filter(free, lambda o: o["sheet_idx"] == sheet["sheet_idx"]), F.lit(0)))
+        how = F.when(found.isNull(), "removed").when(found["sheet"] == sheet["sheet"], "same").otherwise("renamed")
+        row = F.struct(sheet["sheet_idx"].alias("sheet_idx"), sheet["sheet"].alias("sheet"), found["sheet_idx"].alias("other_idx"), F.coalesce(found["sheet"], F.lit("")).alias("other"), how.alias("how"))
+        return F.struct(
+            F.when(found.isNull(), state["taken"]).otherwise(F.concat(state["taken"], F.array(found["sheet_idx"]))).alias("taken"),
+            F.when(named.isNull(), state["names"]).otherwise(F.concat(state["names"], F.array(sheet["sheet"]))).alias("names"),
+            F.concat(state["rows"], F.array(row)).alias("rows"),
+        )
+
+    row_type = "struct<sheet_idx:int,sheet:string,other_idx:int,other:string,how:string>"
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<string>").alias("names"), F.array().cast(f"array<{row_type}>").alias("rows"))
+    claimed = both.withColumn("claims", F.aggregate("own", start, claim))
+    extra = F.filter("others", lambda o: ~F.array_contains(F.col("claims.taken"), o["sheet_idx"]) & (o["sheet_idx"] >= F.size("own")))
+    added = F.transform(extra, lambda o: F.struct(F.lit(None).cast("int").alias("sheet_idx"), F.lit("").alias("sheet"), o["sheet_idx"].alias("other_idx"), o["sheet"].alias("other"), F.lit("added").alias("how")).cast(row_type))
+    return claimed.select("doc", F.inline(F.concat("claims.rows", added)))
+
+
+def compare_sheets(ref: DataFrame, ver: DataFrame) -> DataFrame:
+    """(doc, difference_type, location_signature, location_label, sheet, address, reference_text, version_text): all differences of two workbooks.
+
+    Sheets renamed, added and removed by align_sheets; rows and columns that matched sheets gained or lost; cells, where a text in the first row
+    that has another text now is a changed header. A removed sheet loses its cells too. Empty and missing cells are the same. sheet and address are null where none is meant.
+    Cells meet by one full outer join of filled cells on (doc, sheet, row, column), so a workbook of any size spreads by its cells. Null values are
+    empty; an empty side gives added or removed sheets.
+    """
+    ref, ver = (side.withColumn("value", F.coalesce("value", F.lit(""))) for side in (ref, ver))
+    claims = align_sheets(ref, ver)
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    none, name = F.lit(None).cast("string"), F.col("sheet")
+    quoted = lambda c: text("Sheet “", c, "”")
+
+    size = used_size(ref).select("doc", "sheet_idx", F.col("n_rows").alias("ar"), F.col("n_cols").alias("ac"))
+    other_size = used_size(ver).select("doc", F.col("sheet_idx").alias("other_idx"), F.col("n_rows").alias("br"), F.col("n_cols").alias("bc"))
+    sized = claims.join(size, ["doc", "sheet_idx"], "left").join(other_size, ["doc", "other_idx"], "left").na.fill(0, ["ar", "ac", "br", "bc"])
+
+    def record(kind: str, when: Column, signature: Column, label: Column, sheet: Column, old: Column, new: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("difference_type"), signature.alias("location_signature"), label.alias("location_label"), sheet.alias("sheet"), none.alias("address"), old.alias("reference_text"), new.alias("version_text")))
+
+    how, other, matched = F.col("how"), F.col("other"), F.col("how").isin("same", "renamed")
+    extent = lambda rows, cols: text(F.col(rows), " rows × ", F.col(cols), " cols")
+    changes = []
+    for word, unit, a, b, gained, lost in (("rows", "rows", "ar", "br", "rows appended", "rows removed"), ("cols", "columns", "ac", "bc", "columns added", "columns removed")):
+        old, new = F.col(a), F.col(b)
+        for kind, when, label, sign in ((f"{word}_added", new > old, gained, "+"), (f"{word}_removed", new < old, lost, "−")):
+            changes.append(record(kind, matched & when, text("sheet|", name, f"|{word}"), text(quoted(name), f" · {label}"), none, text(old, f" {unit}"), text(new, f" {unit} ({sign}", F.abs(new - old), ")")))
+    by_sheet = F.array(
+        record("sheet_renamed", how == "renamed", text("sheet|", name, "|name"), text(quoted(name), " · name differs"), name, name, other),
+        record("sheet_added", how == "added", text("sheet|", other), text(quoted(other), " added"), none, F.lit("(not present in reference)"), extent("br", "bc")),
+        record("sheet_removed", how == "removed", text("sheet|", name), text(quoted(name), " removed"), none, extent("ar", "ac"), F.lit("(sheet not present)")),
+        *changes,
+    )
+    of_sheets = sized.select("doc", F.inline(F.filter(by_sheet, lambda x: x.isNotNull())))
+
+    at = ["doc", "sheet_idx", "r", "c"]
+    a = ref.filter("value <> ''").select(*at, F.col("value").alias("old"))
+    place = claims.filter(matched).select("doc", "sheet_idx", "other_idx")
+    b = ver.filter("value <> ''").select("doc", F.col("sheet_idx").alias("other_idx"), "r", "c", F.col("value").alias("new")).join(place, ["doc", "other_idx"]).select(*at, "new")
+    cells = a.join(b, at, "full_outer").na.fill("", ["old", "new"]).filter("old <> new")
+    blank = F.btrim("new", F.lit(BLANK)) == ""
+    header = (F.col("r") == 0) & (F.btrim("old", F.lit(BLANK)) != "") & ~is_numeric(F.col("old")) & ~blank
+    names = claims.filter("sheet_idx IS NOT NULL").select("doc", "sheet_idx", "sheet")
+    address = cell_address(F.col("r"), F.col("c"))
+    told = cells.filter(~((F.col("old") == "") & blank)).join(names, ["doc", "sheet_idx"]).withColumns({"address": address, "header": header})
+    of_cells = told.select(
+        "doc", F.when(F.col("header"), "header_changed").otherwise("cell_changed").alias("difference_type"),
+        F.when(F.col("header"), text("sheet|", name, "|header|", F.col("address"))).otherwise(text("sheet|", name, "|", F.col("address"))).alias("location_signature"),
+        F.when(F.col("header"), text(quoted(name), " · Column “", F.col("old"), "”")).otherwise(text(quoted(name), " · ", F.col("address"))).alias("location_label"),
+        "sheet", "address", F.col("old").alias("reference_text"), F.col("new").alias("version_text"),
+    )
+    return of_sheets.unionByName(of_cells)
+
+
+def sheet_items(cells: DataFrame) -> DataFrame:
+    """Items (doc, idx, kind, key, label, value, location) of workbooks, the same for every layout; idx counts from 0 in reading order.
+
+    A sheet headed `Field`, `Value` lists fields; one with another header row is read by columns; of the rest, sheets of one column are read as
+    labels and values, and others cell by cell. Sheets of notes on the comparison are left out. cells is read several times: write what is costly to derive.
+    """
+    cells = comparable_sheets(cells)
+    headers = detect_header(cells).filter("has_header").select(*SHEET)
+    headed, bare = cells.join(headers, SHEET, "left_semi"), cells.join(headers, SHEET, "left_anti")
+    top = filled(headed).filter("r = 0 AND c < 2").groupBy(*SHEET).agg(F.max(F.when(F.col("c") == 0, F.lower(F.btrim("value", F.lit(BLANK))))).alias("a"), F.max(F.when(F.col("c") == 1, F.lower(F.btrim("value", F.lit(BLANK))))).alias("b"))
+    listing = top.filter("a = 'field' AND b = 'value'").select(*SHEET)
+    wide = filled(bare).groupBy(*SHEET).agg(F.max("c").alias("last")).filter("last > 0").select(*SHEET)
+    a1 = cell_address(F.col("r"), F.col("c"))
+    trimmed = F.btrim("value", F.lit(BLANK)).alias("value")
+    field = F.lit("field_value").alias("kind")
+    n = F.when(F.col("n") > 0, F.concat("header", F.lit(" #"), "n")).otherwise(F.col("header"))
+    by_column = table_items(headed.join(listing, SHEET, "left_anti")).withColumn("n", F.row_number().over(W.partitionBy(*SHEET, "header").orderBy("r", "c")) - 1)
+    parts = [
+        pair_table_items(headed).select(*SHEET, "r", F.lit(0).alias("c"), field, "key", "label", "value"),
+        by_column.select(*SHEET, "r", "c", field, "key", F.btrim(n, F.lit(BLANK)).alias("label"), trimmed),
+        single_column_items(bare).select(*SHEET, "r", F.lit(0).alias("c"), "kind", "key", "label", "value"),
+        grid_items(bare.join(wide, SHEET, "left_semi")).select(*SHEET, "r", "c", F.lit("table_cell").alias("kind"), "key", "label", trimmed),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    idx = F.row_number().over(W.partitionBy("doc").orderBy("sheet_idx", "r", "c")) - 1
+    return every.select("doc", idx.alias("idx"), "kind", "key", "label", "value", F.concat("sheet", F.lit(" · "), a1).alias("location"))
 
 
 def pair_table_items(cells: DataFrame) -> DataFrame:

@@ -63,10 +63,16 @@ _NAMED = "SELECT doc, CAST(doc % 3 AS INT) AS sheet_idx, CASE WHEN doc % 2 = 0 T
 _OTHER = "SELECT doc, CAST(doc % 4 AS INT) AS sheet_idx, CASE WHEN doc % 3 = 0 THEN 'Main' ELSE concat('T', CAST(doc % 5 AS STRING)) END AS sheet FROM (SELECT DISTINCT o_custkey AS doc FROM {orders}) t UNION ALL SELECT DISTINCT o_custkey, 4, 'Totals' FROM {orders} WHERE o_custkey % 7 < 3"
 
 
-def sheet_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sheet_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sheet of both versions, with its position in each."""
     return sheets.align_sheets(w.frame(spark, sf_dir, _NAMED), w.frame(spark, sf_dir, _OTHER))
 
 
+def sheet_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets of the reference, and what became of them."""
+    return sheet_align_all(spark, sf_dir).filter("how <> 'added'").select("doc", "sheet", "other", "how")
+
+
 def sheet_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.sheet_presence(*(w.frame(spark, sf_dir, x).withColumnRenamed("sheet_idx", "pos") for x in (_NAMED_FROM_0, _OTHER_FROM_0)))
 
@@ -406,14 +412,8 @@ QUERIES = {
         SELECT doc, sheet, {sql.cell_address('r', 'c')} AS address, CASE WHEN r = 0 AND trim(old) <> '' AND NOT {sql.is_numeric('old')} AND {sql.trim('new')} <> '' THEN 'header_changed' ELSE 'cell_changed' END AS difference_type, old, new
         FROM j WHERE old <> new AND NOT (old = '' AND {sql.trim('new')} = '')""",
     ),
-    "sheet_align": (
-        sheet_align,
-        f"""WITH a AS {w.oracle(_NAMED)}, b AS {w.oracle(_OTHER)}, n AS (SELECT a.doc, a.sheet_idx, a.sheet, b.sheet_idx AS at FROM a JOIN b ON a.doc = b.doc AND a.sheet = b.sheet),
-        l AS (SELECT a.* FROM a LEFT JOIN n ON n.doc = a.doc AND n.sheet_idx = a.sheet_idx AND n.sheet = a.sheet WHERE n.doc IS NULL),
-        f AS (SELECT b.* FROM b LEFT JOIN n ON n.doc = b.doc AND n.at = b.sheet_idx WHERE n.doc IS NULL)
-        SELECT doc, sheet, sheet AS other, 'same' AS how FROM n UNION ALL
-        SELECT l.doc, l.sheet, coalesce(f.sheet, ''), CASE WHEN f.sheet IS NULL THEN 'removed' ELSE 'renamed' END FROM l LEFT JOIN f ON f.doc = l.doc AND f.sheet_idx = l.sheet_idx""",
-    ),
+    "sheet_align": (sheet_align, sql.sheet_claims(w.oracle(_NAMED), w.oracle(_OTHER)) + "SELECT doc, sheet, other, how FROM claims WHERE how <> 'added'"),
+    "sheet_align_all": (sheet_align_all, sql.sheet_claims(w.oracle(_NAMED), w.oracle(_OTHER)) + "SELECT * FROM claims"),
     "fingerprints": (fingerprints, _FINGER + "SELECT diff_id, account_hash, report_hash, location_hash, sha256(location_key) AS fingerprint FROM k"),
     "rule_cascade": (rule_cascade, _RULED + "SELECT diff_id, ignored_scope, rule_id FROM j"),
     "visible_diffs_search": (
@@ -437,7 +437,6 @@ QUERIES = {
         n AS (SELECT g.doc, g.ord, arg_min(col, (abs(x - x0), col)) AS col, min(abs(x - x0)) AS far FROM g JOIN c ON c.doc = g.doc GROUP BY 1, 2) SELECT doc, ord, CASE WHEN far <= 20 THEN col ELSE -1 END AS col FROM n""",
     ),
 }
-QUERIES["sheet_align_all"] = QUERIES["sheet_align"]
 QUERIES |= {
     "field_sheet_presence": (
         sheet_presence,

@@ -42,17 +42,24 @@ def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.level_histogram(_docs(spark, sf_dir))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.versions(_docs(spark, sf_dir))
+
+
 def group_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = g.group_documents(_docs(spark, sf_dir))
-    return found.select("dir", "stem", "n_docs", F.array_join("formats", ",").alias("formats"), F.array_join("files", "|").alias("files"))
+    """Groups with the names of their files in order; only this report writes them into one text."""
+    each = _versions(spark, sf_dir)
+    files = F.array_join(F.array_sort(F.collect_list(F.struct("position", "file_name")))["file_name"], "|")
+    listed = each.groupBy("dir", "stem").agg(files.alias("files"))
+    return g.group_documents(each).join(listed, ["dir", "stem"]).select("dir", "stem", "n_docs", F.array_join("formats", ",").alias("formats"), "files")
 
 
 def default_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.default_baseline(g.group_documents(_docs(spark, sf_dir)))
+    return g.default_baseline(_versions(spark, sf_dir))
 
 
 def comparison_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.comparison_chain(g.group_documents(_docs(spark, sf_dir)))
+    return g.comparison_chain(_versions(spark, sf_dir)).drop("baseline_path", "comparing_path")
 
 
 def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,17 +67,32 @@ def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = g.group_documents(_docs(spark, sf_dir))
-    return report.version_rows(groups, g.default_baseline(groups))
+    return report.version_rows(_versions(spark, sf_dir))
 
 
 def versions_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.usual_version_count(g.group_documents(_docs(spark, sf_dir)))
+    return report.usual_version_count(g.group_documents(_versions(spark, sf_dir)))
+
+
+#: Differences of a run, by rules on the keys of documents.
+_FOUND = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'value_mismatch' WHEN 1 THEN 'missing_content' ELSE 'added_content' END AS difference_type, CASE WHEN doc_id % 11 = 0 THEN 'Ignored' ELSE 'Reported' END AS status FROM {documents} WHERE doc_id % 5 = 0"
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("account", names.hierarchy(F.col("dir"), 1)["account"])
-    return report.run_stats(docs, g.group_documents(docs))
+    found = report.run_stats(docs, g.group_documents(g.versions(docs)), w.frame(spark, sf_dir, _FOUND))
+    return found.withColumn("types", F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
+
+
+#: Files that could not be read, some in folders below those of groups and some in folders that no group has.
+_ERRORS = "SELECT concat(CASE doc_id % 6 WHEN 0 THEN concat('stray_', CAST(doc_id % 4 AS STRING)) WHEN 1 THEN concat(substr(path, 1, length(path) - position('/' IN reverse(path))), '/deep/er') WHEN 2 THEN concat('client_', CAST(doc_id % 3 AS STRING)) ELSE substr(path, 1, length(path) - position('/' IN reverse(path))) END, '/', 'lost_file-v', CAST(doc_id AS STRING), '.docx') AS path, CASE doc_id % 4 WHEN 0 THEN '' ELSE concat('cannot read ', CAST(doc_id AS STRING)) END AS error FROM (" + w.MANIFEST + ") m WHERE failed OR doc_id % 6 < 3"
+
+
+def report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = _docs(spark, sf_dir).select("dir").distinct()
+    place = names.hierarchy(F.col("dir"), 1)
+    groups = dirs.select("dir", place["account"].alias("account"), place["package_name"].alias("package_name"), place["category"].alias("category"))
+    return report.error_rows(w.frame(spark, sf_dir, _ERRORS), groups)
 
 
 _M = w.oracle(w.MANIFEST)
@@ -120,8 +142,11 @@ QUERIES = {
         run_stats,
         _GROUPS
         + """, c AS (SELECT dir, s, count(*) FILTER (WHERE NOT failed) AS n FROM ordered GROUP BY 1, 2)
-        SELECT * FROM (SELECT count(*) AS files, (count(*) FILTER (WHERE NOT failed)) AS parsed, (count(*) FILTER (WHERE failed)) AS failed, count(DISTINCT string_split(dir, '/')[1]) AS accounts FROM docs),
-        (SELECT count(*) AS groups, (count(*) FILTER (WHERE n >= 2)) AS comparable_groups, sum(n)::BIGINT AS comparable_versions FROM c)""",
+        SELECT *, greatest(comparisons - differences, 0)::BIGINT AS matches FROM (SELECT count(*) AS files, (count(*) FILTER (WHERE NOT failed)) AS parsed, (count(*) FILTER (WHERE failed)) AS failed, count(DISTINCT string_split(dir, '/')[1]) AS accounts FROM docs),
+        (SELECT count(*) AS groups, (count(*) FILTER (WHERE n >= 2)) AS comparable_groups, 2 * count(*) FILTER (WHERE n >= 2) AS comparisons FROM c),
+        (SELECT sum(n)::BIGINT AS differences, sum(i)::BIGINT AS ignored, string_agg(difference_type || ':' || n, ',' ORDER BY difference_type) AS types FROM (SELECT difference_type, count(*) AS n, count(*) FILTER (WHERE status = 'Ignored') AS i FROM """
+        + w.oracle(_FOUND)
+        + """ GROUP BY 1))""",
     ),
     "scan_manifest_filter": (scan_manifest_filter, f"SELECT doc_id, {_EXT} AS ext FROM {_M} WHERE {_EXT} IN ({_KINDS})"),
     "path_parts": (path_parts, f"SELECT doc_id, {_DIR} AS dir, {_FILE} AS file_name, path || '::' || size::VARCHAR AS id FROM {_M}"),
@@ -136,7 +161,7 @@ QUERIES = {
     ),
     "level_histogram": (
         level_histogram,
-        f"WITH {_SPLIT}, e AS (SELECT unnest(string_split(dir, '/')) AS name, generate_subscripts(string_split(dir, '/'), 1)::INT AS level FROM docs) SELECT level, count(DISTINCT name) AS n_names, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM e GROUP BY level",
+        f"WITH {_SPLIT}, e AS (SELECT unnest(string_split(dir, '/')) AS name, generate_subscripts(string_split(dir, '/'), 1)::INT AS level FROM docs), d AS (SELECT level, name, row_number() OVER (PARTITION BY level ORDER BY name) AS r FROM (SELECT DISTINCT level, name FROM e)) SELECT level, count(*) AS n_names, string_agg(name, ',' ORDER BY r) FILTER (WHERE r <= 8) AS names, greatest(count(*) - 8, 0)::BIGINT AS n_more FROM d GROUP BY level",
     ),
     "group_docs": (
         group_docs,
@@ -144,5 +169,12 @@ QUERIES = {
     ),
     "default_baseline": (default_baseline, _GROUPS + f"SELECT dir, s AS stem, arg_min(ext, {_RANK}) AS baseline FROM ordered WHERE NOT failed GROUP BY dir, s"),
     "comparison_chain": (comparison_chain, _CHAIN + "SELECT * FROM pairs"),
+    "report_errors": (
+        report_errors,
+        f"""WITH {_SPLIT}, g AS (SELECT DISTINCT dir AS folder FROM docs), x AS (SELECT path, error, regexp_replace(path, '/[^/]*$', '') AS dir FROM {w.oracle(_ERRORS)}),
+        p AS (SELECT x.*, arg_max(folder, length(folder)) AS folder FROM x LEFT JOIN g ON x.dir = folder OR starts_with(x.dir, folder || '/') GROUP BY ALL)
+        SELECT coalesce(string_split(folder, '/')[1], '(root)') AS account, coalesce(string_split(folder, '/')[2], '(root)') AS package, coalesce(string_split(folder, '/')[3], '') AS category, 'lost_file' AS report, string_split(path, '/')[-1] AS file, 'ParseError' AS error_type,
+        CASE error WHEN '' THEN 'Unknown error' ELSE error END AS error_message FROM p""",
+    ),
     "chain_summary": (chain_summary, _CHAIN + "SELECT baseline_format, comparing_format, count(*) AS n_pairs FROM pairs GROUP BY 1, 2"),
 }

@@ -55,3 +55,20 @@ def column_letters(c: str) -> str:
 
 def cell_address(r: str, c: str) -> str:
     return f"({column_letters(c)} || ({r} + 1)::VARCHAR)"
+
+
+def sheet_claims(ref: str, ver: str) -> str:
+    """WITH ... claims: which sheet of ver each sheet of ref claims, one after the other."""
+    return f"""
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sheet_idx) AS k FROM (SELECT DISTINCT doc, sheet_idx, sheet FROM {ref})),
+b AS (SELECT doc, list({{'i': sheet_idx, 's': sheet}} ORDER BY sheet_idx) AS others FROM (SELECT DISTINCT doc, sheet_idx, sheet FROM {ver}) GROUP BY doc),
+w(doc, k, taken, named, sheet_idx, sheet, f, how) AS (
+  SELECT doc, 0::BIGINT, []::INT[], []::VARCHAR[], NULL::INT, NULL::VARCHAR, NULL::STRUCT(i INT, s VARCHAR), NULL::VARCHAR FROM a WHERE k = 1
+  UNION ALL SELECT doc, k, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f.i) END, CASE WHEN byname IS NULL THEN named ELSE list_append(named, sheet) END, sheet_idx, sheet, f, CASE WHEN f IS NULL THEN 'removed' WHEN f.s = sheet THEN 'same' ELSE 'renamed' END FROM (
+    SELECT *, coalesce(byname, list_filter(free, lambda o: o.i = sheet_idx)[1]) AS f FROM (
+      SELECT *, list_filter(free, lambda o: o.s = sheet AND NOT list_contains(named, o.s))[1] AS byname FROM (
+        SELECT a.doc, a.k, w.taken, w.named, a.sheet_idx, a.sheet, list_filter(coalesce(b.others, []), lambda o: NOT list_contains(w.taken, o.i)) AS free FROM w JOIN a ON a.doc = w.doc AND a.k = w.k + 1 LEFT JOIN b ON b.doc = a.doc)))),
+n AS (SELECT doc, count(*) AS n FROM a GROUP BY doc), last AS (SELECT doc, arg_max(taken, k) AS taken FROM w GROUP BY doc),
+extra AS (SELECT doc, unnest(list_filter(others, lambda o: NOT list_contains(coalesce(taken, []), o.i) AND o.i >= coalesce(n, 0))) AS o FROM b LEFT JOIN last USING (doc) LEFT JOIN n USING (doc)),
+claims AS (SELECT doc, sheet_idx, sheet, f.i AS other_idx, coalesce(f.s, '') AS other, how FROM w WHERE k > 0 UNION ALL SELECT doc, NULL, '', o.i, o.s, 'added' FROM extra)
+"""

@@ -9,9 +9,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A file manifest: folders, names with versions, and six kinds of file.
+#: A file manifest: folders, names with versions, and six kinds of file. Packages grow in number with the table, so reports have a few versions each.
 MANIFEST = """
-SELECT doc_id, concat('client_', CAST(doc_id % 3 AS STRING), '/pkg_', CAST(doc_id % 5 AS STRING), '/', lang, '/', CASE CAST(floor(doc_id / 15) AS BIGINT) % 4 WHEN 0 THEN 'salesReport' WHEN 1 THEN 'report' WHEN 2 THEN 'q1_report' ELSE 'invoice-list' END,
+SELECT doc_id, concat('client_', CAST(doc_id % 3 AS STRING), '/pkg_', CAST(CAST(floor(doc_id / 200) AS BIGINT) AS STRING), '/', lang, '/', CASE CAST(floor(doc_id / 15) AS BIGINT) % 4 WHEN 0 THEN 'salesReport' WHEN 1 THEN 'report' WHEN 2 THEN 'q1_report' ELSE 'invoice-list' END,
   CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-x' END, CASE doc_id % 5 WHEN 0 THEN '_v' WHEN 1 THEN '_final_' WHEN 2 THEN '.rev.' WHEN 3 THEN '-draft-' ELSE '_' END, CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING),
   '.', CASE doc_id % 7 WHEN 0 THEN 'docx' WHEN 1 THEN 'rtf' WHEN 2 THEN 'XLSX' WHEN 3 THEN 'csv' WHEN 4 THEN 'pdf' WHEN 5 THEN 'xls' ELSE 'txt' END) AS path,
   n_chars AS size, doc_id % 31 = 0 AS failed

@@ -116,11 +116,12 @@ def test_severities_of_all_types(spark):
 def test_grouping(spark):
     files = [f"Package 1/Non-Phi/{n}" for n in ("salesreport_2608041001.docx", "salesreport_2608041000.docx", "SalesReport_v10.docx", "salesreport_v9.csv", "customer_report.docx", "note.txt")]
     manifest = spark.createDataFrame([(f, 1, False) for f in files], "path string, size long, failed boolean")
-    groups = grouping.group_documents(grouping.documents(manifest))
+    each = grouping.versions(grouping.documents(manifest))
+    groups = grouping.group_documents(each)
     assert rows(groups, "stem", "n_docs", F.array_join("formats", ",")) == [("customer_report", 1, "docx"), ("salesreport", 4, "csv,docx")]
-    assert rows(grouping.default_baseline(groups), "stem", "baseline") == [("customer_report", "docx"), ("salesreport", "docx")]
+    assert rows(grouping.default_baseline(each), "stem", "baseline") == [("customer_report", "docx"), ("salesreport", "docx")]
     five = spark.createDataFrame([(f"d/r_v{i}.{e}", 1, False) for i, e in enumerate(("pdf", "rtf", "docx", "xls", "csv"))], "path string, size long, failed boolean")
-    chain = grouping.comparison_chain(grouping.group_documents(grouping.documents(five)))
+    chain = grouping.comparison_chain(grouping.versions(grouping.documents(five)))
     assert [(r.baseline_format, r.comparing_format) for r in chain.orderBy("ord").collect()] == [("pdf", "rtf"), ("pdf", "docx"), ("docx", "xlsx"), ("xlsx", "csv")]
 
 
