@@ -8,10 +8,30 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\r\f\x0b"
 #: Starts of paths inside office files.
 CONTAINER_PATHS = (
-    "word/document.xml word/styles.xml word/numbering.xml word/fontTable.xml word/settings.xml word/webSettings.xml word/theme/theme1.xml word/_rels/ word/media/ "
-    "xl/workbook.xml xl/worksheets/sheet xl/sharedStrings.xml xl/styles.xml xl/theme/theme1.xml xl/_rels/ xl/media/ ppt/presentation.xml ppt/_rels/ ppt/media/ "
-    "[Content_Types].xml _rels/.rels _rels/document.xml.rels _rels/workbook.xml.rels"
-).split()
+    "word/document.xml",
+    "word/styles.xml",
+    "word/numbering.xml",
+    "word/fontTable.xml",
+    "word/settings.xml",
+    "word/webSettings.xml",
+    "word/theme/theme1.xml",
+    "word/_rels/",
+    "word/media/",
+    "xl/workbook.xml",
+    "xl/worksheets/sheet",
+    "xl/sharedStrings.xml",
+    "xl/styles.xml",
+    "xl/theme/theme1.xml",
+    "xl/_rels/",
+    "xl/media/",
+    "ppt/presentation.xml",
+    "ppt/_rels/",
+    "ppt/media/",
+    "[Content_Types].xml",
+    "_rels/.rels",
+    "_rels/document.xml.rels",
+    "_rels/workbook.xml.rels",
+)
 #: Binary and markup residue.
 ARCHIVE = "^PK[\\x00-\\x03\\x05-\\x1f]"
 CONTROL = "[\\x00-\\x08\\x0e-\\x1f]"

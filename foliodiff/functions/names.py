@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: File kinds that can be compared, and words that mark a version at the end of a name.
 KINDS = ("docx", "rtf", "xlsx", "xls", "csv", "pdf")
-VERSION_WORDS = "final draft rev approved released original updated new old copy backup wip tmp temp clean".split()
+VERSION_WORDS = ("final", "draft", "rev", "approved", "released", "original", "updated", "new", "old", "copy", "backup", "wip", "tmp", "temp", "clean")
 
 
 def extension(name: Column) -> Column:

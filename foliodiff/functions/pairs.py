@@ -11,6 +11,7 @@ COLON = "^([A-Za-z][A-Za-z0-9 _/().\\-&'*]+?)[ \t]*:[ \t]*(.+)$"
 EQUALS = "^([A-Za-z][A-Za-z0-9 _/().\\-&'*]+?)[ \t]*=[ \t]*(.+)$"
 GAP = "^([A-Za-z][A-Za-z ]{0,29}?)[ \t]{2,}(.+)$"
 NUMBER = "^([A-Za-z]{3,30})[ \t]([ \t]*[0-9][0-9,.:/-]*)$"
+FIELD_LINE = "^([A-Za-z][A-Za-z0-9 _/().'&-]*?)[ \t]*[:=][ \t]*(.+)$"
 SHORT_WORDS = "^[A-Za-z][A-Za-z ]{0,4}$"
 LABEL = "^[A-Za-z][A-Za-z ]{1,29}$"
 COLUMN_NAME = "^[A-Za-z][A-Za-z ]{0,9}$"
@@ -45,7 +46,10 @@ def segment_pair(segment: Column) -> Column:
         stated = (F.size(x) == 3) & (F.get(x, F.lit(0)) == "") & ~segment.startswith(MARK)
         return F.when(stated, pair(trim(F.get(x, F.lit(1))), trim(F.get(x, F.lit(2)))))
 
-    stated = F.transform(F.array(*(halves(form) for form in (COLON, EQUALS, GAP, NUMBER))), found)
+    # what a notation cannot do without is looked for first: most segments have none of it
+    gap = segment.contains("  ") | segment.contains("\t")
+    needs = ((COLON, segment.contains(":")), (EQUALS, segment.contains("=")), (GAP, gap), (NUMBER, gap | segment.contains(" ")))
+    stated = F.transform(F.array(*(F.when(needed, halves(form)) for form, needed in needs)), found)
     colon, gap = F.get(stated, F.lit(0)), F.get(stated, F.lit(2))
     names = gap["field"].rlike(SHORT_WORDS) & gap["value"].rlike(SHORT_WORDS)
     numbered = F.transform(stated, lambda p, i: F.when((i == 0) | (i == 2) & names, None).otherwise(p))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliodiff.functions.pairs import FIELD_LINE
 from foliodiff.functions.text import is_numeric, normalize_key
 
 
 BLANK = " \t\r\n\f\x0b"
-#: A line that states a field: a label of letters, digits and a few signs, then a colon or equals sign.
-FIELD_LINE = "^([A-Za-z][A-Za-z0-9 _/().'&-]*?)[ \t]*[:=][ \t]*(.+)$"
+
 
 
 def compare_versions(entries: DataFrame, n_versions: int) -> DataFrame:

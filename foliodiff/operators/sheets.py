@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliodiff.functions.pairs import COLON
 from foliodiff.functions.text import cell_address, column_letters, is_numeric, normalize_key
 
 SHEET = ["doc", "sheet_idx", "sheet"]
 BLANK = " \t\r\n\f\x0b"
-#: A row that may be a label, and one that states a field.
+#: A row that may be a label.
 LABEL_ROW = r"^[A-Za-z]+(?: [A-Za-z]+)*$"
-COLON_ROW = r"^([A-Za-z][A-Za-z0-9 _/().&'*-]+?)[ \t]*:[ \t]*(.+)$"
 
 
 def filled(cells: DataFrame) -> DataFrame:
@@ -224,9 +224,9 @@ def single_column_items(cells: DataFrame) -> DataFrame:
     picked = run.withColumn("_label", F.col("_starts") & (nth % 2 == 1))
     used = F.coalesce(F.lag("_label").over(w) & (F.lag("r").over(w) == F.col("r") - 1), F.lit(False))
     left = picked.withColumn("_used", used).filter("NOT _used")
-    colon = ~F.col("_label") & F.col("value").rlike(COLON_ROW)
-    label = F.when(F.col("_label"), F.col("value")).when(colon, F.btrim(F.regexp_extract("value", COLON_ROW, 1), F.lit(BLANK)))
-    value = F.when(F.col("_label"), F.col("_below")).when(colon, F.btrim(F.regexp_extract("value", COLON_ROW, 2), F.lit(BLANK))).otherwise(F.col("value"))
+    colon = ~F.col("_label") & F.col("value").rlike(COLON)
+    label = F.when(F.col("_label"), F.col("value")).when(colon, F.btrim(F.regexp_extract("value", COLON, 1), F.lit(BLANK)))
+    value = F.when(F.col("_label"), F.col("_below")).when(colon, F.btrim(F.regexp_extract("value", COLON, 2), F.lit(BLANK))).otherwise(F.col("value"))
     is_field = F.col("_label") | colon
     return left.select(
         *SHEET, "r", F.when(is_field, "field_value").otherwise("table_cell").alias("kind"), F.when(is_field, normalize_key(label)).otherwise(F.concat(F.lit("cell_"), "r", F.lit("_0"))).alias("key"),

@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 
 #: Groups that hold no text, control words that are characters, and those that end a line.
-HIDDEN = set("fonttbl colortbl stylesheet info pict object filetbl listtable listoverridetable revtbl rsidtbl datastore xmlnstbl generator latentstyles themedata colorschememapping fldinst bkmkstart bkmkend header footer footnote xe tc shppict".split())
+HIDDEN = {
+    "fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "filetbl", "listtable",
+    "listoverridetable", "revtbl", "rsidtbl", "datastore", "xmlnstbl", "generator", "latentstyles", "themedata",
+    "colorschememapping", "fldinst", "bkmkstart", "bkmkend", "header", "footer", "footnote", "xe",
+    "tc", "shppict",
+}
 CHARACTERS = {"tab": "\t", "bullet": "\u2022", "endash": "\u2013", "emdash": "\u2014", "lquote": "\u2018", "rquote": "\u2019", "ldblquote": "\u201c", "rdblquote": "\u201d", "~": "\u00a0", "-": "\u00ad", "_": "\u2011", "\\": "\\", "{": "{", "}": "}"}
 BREAKS = {"par", "line", "row", "cell", "sect", "page"}
 

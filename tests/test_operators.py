@@ -19,16 +19,16 @@ def field(label, value):
     return ("field_value", label, value)
 
 
-STANDARD = [("Account", "1000"), ("Customer", "Customer Alpha"), ("Region", "South"), ("Status", "Active")]
+STANDARD = [("Account", "1000"), ("Customer", "Hollis Works"), ("Region", "South"), ("Status", "Active")]
 
 
 def test_mutations(spark):
     base = side(spark, *(field(*x) for x in STANDARD))
-    comp = side(spark, field("Account", "1000"), field("region", "North"), field("Status", "ACTIVE"), field("Account Manager", "Arun Kumar"))
+    comp = side(spark, field("Account", "1000"), field("region", "North"), field("Status", "ACTIVE"), field("Account Manager", "Tove Lind"))
     found = items.difference_records(items.match_by_key(base, comp))
     assert rows(found, "difference_type", "location_signature", "reference_text", "version_text") == [
-        ("added_content", "added|account manager", "", "Arun Kumar"),
-        ("missing_content", "missing|customer", "Customer Alpha", ""),
+        ("added_content", "added|account manager", "", "Tove Lind"),
+        ("missing_content", "missing|customer", "Hollis Works", ""),
         ("value_mismatch", "field_value|region|1", "South", "North"),
     ]
 
@@ -46,32 +46,32 @@ def test_deduplicate(spark):
 
 
 def test_residue_phases(spark):
-    base = side(spark, ("paragraph", "", "Account | 1000"), ("paragraph", "", "Customer Customer Alpha"), ("paragraph", "", "Sort Description:"), ("paragraph", "", "unrelated text"))
-    comp = side(spark, field("Account", "1000"), field("Customer", "Customer Alpha"), field("Sort Description", "Product"), field("ü", "other"))
+    base = side(spark, ("paragraph", "", "Account | 1000"), ("paragraph", "", "Customer Hollis Works"), ("paragraph", "", "Print Sequence:"), ("paragraph", "", "unrelated text"))
+    comp = side(spark, field("Account", "1000"), field("Customer", "Hollis Works"), field("Print Sequence", "Product"), field("ü", "other"))
     got = residue.match_residue(base, comp)
     assert rows(got, "base_idx", "comp_idx") == [(0, 0), (1, 1), (2, 2)]
     assert residue.match_residue(base.limit(0), comp.limit(0)).count() == 0
 
 
-def cells(spark, grid, doc=1, sheet="Summary", at=0):
+def cells(spark, grid, doc=1, sheet="Ward", at=0):
     return spark.createDataFrame([(doc, at, sheet, r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)], "doc long, sheet_idx int, sheet string, r int, c int, value string")
 
 
 def test_sheets(spark):
-    ref = cells(spark, [["Metric", "Amount"], ["Net revenue", "1240000"], ["Cost", ""]])
-    ver = cells(spark, [["Metric", "Value"], ["Net revenue", "1280000"], ["Cost", " "], ["Tax", "3"]])
+    ref = cells(spark, [["Goods", "Amount"], ["Bread sold", "31415"], ["Cost", ""]])
+    ver = cells(spark, [["Goods", "Value"], ["Bread sold", "27182"], ["Cost", " "], ["Tax", "3"]])
     assert rows(sheets.cell_changes(ref, ver), "address", "difference_type") == [("A4", "cell_changed"), ("B1", "header_changed"), ("B2", "cell_changed"), ("B4", "cell_changed")]
     assert rows(sheets.structure_changes(ref, ver), "difference_type", "n") == [("rows_added", 1)]
     assert rows(sheets.detect_header(ref), "has_header") == [(True,)]
     assert rows(sheets.detect_header(cells(spark, [["1", "2"], ["Account", "1000"]])), "has_header") == [(False,)]
     assert rows(sheets.table_items(cells(spark, [["Name", "Amount"], ["x", "1"], ["y", "2"]])), "key", "value") == [("amount", "1"), ("amount 1", "2"), ("name", "x"), ("name 1", "y")]
     other = cells(spark, [["a"]], sheet="Other")
-    assert rows(sheets.align_sheets(ref, other), "sheet", "other", "how") == [("Summary", "Other", "renamed")]
+    assert rows(sheets.align_sheets(ref, other), "sheet", "other", "how") == [("Ward", "Other", "renamed")]
     assert rows(sheets.align_sheets(ref, other.limit(0)), "how") == [("removed",)]
 
 
 def test_fields_over_versions(spark):
-    data = [(1, v, 0, "Manager", x) for v, x in enumerate(("Arun", "Arun", "Ramesh"))] + [(1, 1, 1, "New", "n"), (1, 2, 1, "New", "n"), (1, 0, 2, "Gone", "g"), (1, 1, 2, "Gone", "g")]
+    data = [(1, v, 0, "Manager", x) for v, x in enumerate(("Tove", "Tove", "Edda"))] + [(1, 1, 1, "New", "n"), (1, 2, 1, "New", "n"), (1, 0, 2, "Gone", "g"), (1, 1, 2, "Gone", "g")]
     got = fields.compare_versions(spark.createDataFrame(data, "group_id long, version int, ord int, label string, value string"), 3)
     assert [(r.key, list(r.kinds)) for r in got.orderBy("key").collect()] == [("gone", ["unchanged", "removed"]), ("manager", ["unchanged", "changed"])]
 
@@ -101,7 +101,7 @@ def test_sheet_presence_and_headers(spark):
     assert rows(fields.sheet_presence(sheets_of("A", "B"), sheets_of("B")), "difference_type", "sheet", "other") == [("sheet_renamed", "A", "B")]
     assert rows(fields.sheet_presence(sheets_of("A"), sheets_of("A", "B")), "difference_type", "sheet") == [("sheet_added", "B")]
     assert fields.sheet_presence(sheets_of("A"), sheets_of("A").limit(0)).count() == 0
-    ref, ver = cells(spark, [["Metric", "Amount", "7", ""], ["a", "b"]]), cells(spark, [["Metric", "Value", "8", "New"], ["x", "y"]])
+    ref, ver = cells(spark, [["Goods", "Amount", "7", ""], ["a", "b"]]), cells(spark, [["Goods", "Value", "8", "New"], ["x", "y"]])
     assert rows(fields.header_changes(ref, ver), "c", "old", "new") == [(1, "Amount", "Value")]
 
 

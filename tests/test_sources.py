@@ -19,10 +19,10 @@ PACK = "http://schemas.openxmlformats.org/package/2006/relationships"
 DOCX = zipped({"word/document.xml": f'<w:document xmlns:w="{WORD}"><w:body><w:p><w:r><w:t>Account: </w:t><w:t>1000</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
 XLSX = zipped(
     {
-        "xl/workbook.xml": f'<workbook xmlns="{SHEET}" xmlns:r="{REL}"><sheets><sheet name="Summary" r:id="rId1"/></sheets></workbook>',
+        "xl/workbook.xml": f'<workbook xmlns="{SHEET}" xmlns:r="{REL}"><sheets><sheet name="Ward" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{PACK}"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst xmlns="{SHEET}"><si><t>Metric</t></si></sst>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{SHEET}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="3"><c r="AB3"><v>1240000</v></c><c r="AC3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{SHEET}"><si><t>Goods</t></si></sst>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{SHEET}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="3"><c r="AB3"><v>31415</v></c><c r="AC3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>',
     }
 )
 RTF = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}\b Hello world\b0\par Caf\'e9 \u8364?uro \{x\}\line Total:\tab 5\cell end\row}"
@@ -36,7 +36,7 @@ def test_rtf():
 
 def test_office():
     assert office.docx_lines(DOCX) == ["Account: 1000", "cell"]
-    assert office.xlsx_cells(XLSX) == [(0, "Summary", 0, 0, "Metric"), (0, "Summary", 2, 27, "1240000"), (0, "Summary", 2, 28, "in")]
+    assert office.xlsx_cells(XLSX) == [(0, "Ward", 0, 0, "Goods"), (0, "Ward", 2, 27, "31415"), (0, "Ward", 2, 28, "in")]
     assert office.csv_cells(b'\xef\xbb\xbfa,"b\nc"\n,d\n') == [(0, "Sheet1", 0, 0, "a"), (0, "Sheet1", 0, 1, "b\nc"), (0, "Sheet1", 1, 1, "d")]
 
 
