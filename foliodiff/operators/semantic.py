@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliodiff.durable import written
 from foliodiff.functions.text import aggressive, normalize_key, tokens
 
 #: Kinds that are known by a key, kinds that are cells, and kinds that are running text.
@@ -62,14 +63,15 @@ def match_elements(base: DataFrame, comp: DataFrame) -> DataFrame:
     a key the k-th element takes the k-th. status is identical, changed (by key only), missing (base) or added (comp).
     partner is the other side's idx; null for a gathering text, which has several, and for unmatched elements.
 
-    Both documents are one frame, partitioned by pair once; phases are windows over it, so no phase recomputes another. Null
+    Both documents are one frame, written once; phases are windows over it, partitioned by pair, so no phase recomputes another. Null
     labels and values are empty ones; empty values match each other by value but not by tokens. idx is unique within a side.
     """
     sides = [x.select("pair_id", F.lit(side).alias("side"), "idx", "kind", F.coalesce("label", F.lit("")).alias("label"), "value") for x, side in ((base, "base"), (comp, "comp"))]
-    items = sides[0].unionByName(sides[1]).repartition("pair_id").withColumns(
+    items = sides[0].unionByName(sides[1]).withColumns(
         {"key": normalize_key(F.col("label")), "same": value_key(F.col("value")), "words": F.array_join(tokens(F.coalesce("value", F.lit(""))), " "), "match": F.lit(None).cast("string"), "phase": F.lit(None).cast("string")}
     )
-    found = _pair_up(items, "key", "key", F.col("kind").isin(*KEYED))
+    items = written(items)
+    found = _pair_up(items.repartition("pair_id"), "key", "key", F.col("kind").isin(*KEYED))
     found = _pair_up(found, "value", "same", F.lit(True))
     found = _gather(found)
     found = _pair_up(found, "tokens", "words", F.col("kind").isin(*PROSE) & (F.col("words") != ""))

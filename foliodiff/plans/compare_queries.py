@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliodiff.durable import written
 from foliodiff.functions.lines import clean_lines, line_class
 from foliodiff.functions.text import equality_key
 from foliodiff.operators import fields, items, layout, report, residue, rules, sheets, tables, text_diff, tokens
@@ -147,7 +148,7 @@ def _rules(found: DataFrame) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.fingerprints(_diffs(spark, sf_dir))
+    found = written(rules.fingerprints(_diffs(spark, sf_dir)))  # rules and session are picked from the differences
     session = found.filter("pair_id % 97 = 5").select(F.col("diff_id").alias("occurrence"))
     # rules are unique by (scope, key, ord): several differences of one document tie, and the smallest id wins
     return rules.apply_rules(found, _rules(found), session)
@@ -220,9 +221,9 @@ def canonical_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.slice(clean_lines(F.col("text")), 1, 2**31 - 1).alias("old"))
-    changed = docs.select("doc_id", F.filter(F.transform("old", lambda x, i: F.when((i + F.col("doc_id")) % 7 == 3, F.upper(x)).otherwise(x)), lambda x, i: (i + F.col("doc_id")) % 11 != 5).alias("new"))
-    return text_diff.line_differences(docs.join(changed, "doc_id"), key="doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", clean_lines(F.col("text")).alias("old"))
+    changed = F.transform("old", lambda x, i: F.when((i + F.col("doc_id")) % 7 == 3, F.upper(x)).otherwise(x))
+    return text_diff.line_differences(docs.withColumn("new", F.filter(changed, lambda x, i: (i + F.col("doc_id")) % 11 != 5)), key="doc_id")
 
 
 _PIPES = f"""
@@ -376,7 +377,7 @@ QUERIES = {
         f"SELECT pair_id, eq, least(n, m) AS n_pairs FROM (SELECT pair_id, {sql.equality_key('value')} AS eq, count(*) AS n FROM {_BASE} GROUP BY 1, 2) JOIN (SELECT pair_id, {sql.equality_key('value')} AS eq, count(*) AS m FROM {_COMP} GROUP BY 1, 2) USING (pair_id, eq)",
     ),
     "magic_bytes": (magic_bytes, "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pdf' WHEN doc_id % 4 = 1 THEN 'rtf' WHEN doc_id % 8 = 2 THEN 'zip' END AS detected FROM documents"),
-    "canonical_residue": (canonical_residue, None),
+    "canonical_residue": (canonical_residue, f"WITH RECURSIVE {sql.residue(w.oracle(_PROSE), w.oracle(w.ITEMS_BASE))} SELECT * FROM matched"),
     "text_line_diff": (text_line_diff, None),
     "kv_extract": (kv_extract, f"SELECT pair_id, idx, {_form(1)} AS field, {_form(2)} AS value FROM {w.oracle(w.KV_LINES)}"),
     "dedup_items": (

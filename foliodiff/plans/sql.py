@@ -72,3 +72,49 @@ n AS (SELECT doc, count(*) AS n FROM a GROUP BY doc), last AS (SELECT doc, arg_m
 extra AS (SELECT doc, unnest(list_filter(others, lambda o: NOT list_contains(coalesce(taken, []), o.i) AND o.i >= coalesce(n, 0))) AS o FROM b LEFT JOIN last USING (doc) LEFT JOIN n USING (doc)),
 claims AS (SELECT doc, sheet_idx, sheet, f.i AS other_idx, coalesce(f.s, '') AS other, how FROM w WHERE k > 0 UNION ALL SELECT doc, NULL, '', o.i, o.s, 'added' FROM extra)
 """
+
+
+def residue(base: str, comp: str) -> str:
+    """CTEs (behind WITH RECURSIVE) up to matched(pair_id, phase, base_idx, comp_idx, identical): all pairs of rows that pass a phase, taken one after the other.
+
+    closed holds what was taken: c for a version row, b for a baseline row, p for one that parts claimed, q for such a part.
+    """
+
+    def side(rel: str) -> str:
+        return f"""SELECT pair_id, idx, kind IN ('field_value', 'heading') AS is_field, kind IN ('paragraph', 'list_item') AS is_prose, {normalize_key("coalesce(label, '')")} AS key, coalesce(value, '') AS value,
+  lower({normalize_text("coalesce(value, '')")}) AS low, {equality_key("coalesce(value, '')")} AS eq FROM {rel}"""
+
+    cells = lambda x: f"list_filter(list_transform(string_split({x}, '|'), lambda y: {trim('y')}), lambda y: y <> '')"
+    plain = "NOT contains(p.value, '|') AND NOT contains(p.value, ':')"
+    named = "f.key <> '' AND contains(p.low, f.key)"
+    said = f"NOT contains(p.value, '|') AND length(p.low) <= 120 AND (p.low = f.low OR ({named}))"
+    row = f"contains(p.value, '|') AND NOT contains(p.value, ':') AND len({cells('p.value')}) >= 2 AND {normalize_key(cells('p.value') + '[1]')} = f.key AND {equality_key(cells('p.value') + '[2]')} = f.eq"
+    ends = "f.low <> '' AND suffix(p.low, f.low)"
+    to_field, to_prose = "bs p JOIN cs f ON f.pair_id = p.pair_id AND p.is_prose AND f.is_field", "bs f JOIN cs p ON f.pair_id = p.pair_id AND p.is_prose AND f.is_field"
+
+    def edge(rank: int, phase: str, a: str, b: str, c: str, source: str, test: str, z: str | None = None, part: str = "0") -> str:
+        return f"SELECT {a}.pair_id, {rank} AS rank, '{phase}' AS phase, {z or b}.idx AS a, {part}::BIGINT AS part, {c if (z or b) == b else b}.idx AS z, {b}.idx AS bi, {c}.idx AS ci FROM {source} WHERE {test}"
+
+    edges = [
+        edge(0, "value", "p", "p", "f", "bs p JOIN cs f ON f.pair_id = p.pair_id AND f.eq = p.eq", "NOT (p.is_field AND f.is_field)"),
+        edge(1, "prose_says_field", "p", "p", "f", to_field, said),
+        edge(1, "pipe_parts_say_fields", "p", "p", "f", f"(SELECT pair_id, idx, unnest({cells('low')}) AS x, generate_subscripts({cells('low')}, 1) AS n FROM bs WHERE is_prose AND contains(value, '|')) p JOIN cs f ON f.pair_id = p.pair_id AND f.is_field",
+             "p.x = f.low OR (f.low <> '' AND f.key <> '' AND contains(p.x, f.low) AND contains(p.x, f.key))", part="p.n"),
+        edge(2, "prose_is_label", "p", "p", "f", to_field, f"regexp_matches(p.value, '[A-Za-z]:\\s*$') AND {normalize_key('p.value')} = f.key"),
+        edge(3, "field_said_by_prose", "p", "f", "p", to_prose, said, z="p"),
+        edge(4, "pipe_row_is_field", "p", "p", "f", to_field, row),
+        edge(5, "field_is_pipe_row", "p", "f", "p", to_prose, row),
+        edge(6, "prose_ends_in_field", "p", "p", "f", to_field, f"{plain} AND f.low <> '' AND (p.low = f.low OR ({named} AND (({ends}) OR p.low = f.key)))"),
+        edge(7, "field_ends_prose", "p", "f", "p", to_prose, f"{plain} AND (({ends}) OR (f.key <> '' AND p.low = f.key))"),
+    ]
+    return f"""
+bs AS ({side(base)}), cs AS ({side(comp)}),
+edges AS ({" UNION ALL ".join(edges)}),
+todo AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY rank, a, part, z) AS k FROM edges),
+taking(pair_id, k, closed, took) AS (
+  SELECT DISTINCT pair_id, 0::BIGINT, []::VARCHAR[], false FROM todo
+  UNION ALL SELECT pair_id, k, CASE WHEN took THEN closed || ['c' || ci] || CASE WHEN part > 0 THEN ['p' || bi, 'q' || bi || '/' || part] ELSE ['b' || bi] END ELSE closed END, took FROM (
+    SELECT t.*, closed, NOT list_contains(closed, 'c' || ci) AND NOT list_contains(closed, 'b' || bi) AND CASE WHEN part > 0 THEN NOT list_contains(closed, 'q' || bi || '/' || part) ELSE NOT list_contains(closed, 'p' || bi) END AS took
+    FROM taking w JOIN todo t ON t.pair_id = w.pair_id AND t.k = w.k + 1)),
+matched AS (SELECT t.pair_id, phase, bi AS base_idx, ci AS comp_idx, phase <> 'prose_is_label' AS identical FROM taking w JOIN todo t ON t.pair_id = w.pair_id AND t.k = w.k WHERE took)
+"""
