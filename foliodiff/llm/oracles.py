@@ -14,7 +14,7 @@ _PACKED = r"regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]', '', 'g')"
 def _rule(r: q.Rule) -> str:
     value = r.measure.replace("try_divide(", "(").replace(", ", "::DOUBLE / ")
     sides = [f"{value} < {r.low}"] * (r.low is not None) + [f"{value} > {r.high}"] * (r.high is not None)
-    return f"NOT coalesce({' OR '.join(sides)}, false)"
+    return f"(n_words < {r.min_words} OR NOT coalesce({' OR '.join(sides)}, false))"
 
 
 QUALITY_RULES = f"""

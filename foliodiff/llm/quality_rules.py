@@ -4,7 +4,10 @@ Every document is judged on its own in a single scan: no shuffle, no Python, who
 characters other than ASCII white space. Repeated five-word windows are found inside a document by hashing each window
 to 64 bits; only a document that has two equal hashes pays for the sort that locates them.
 
-Null text counts as a text without words. Empty tables give empty results, repeated rows give repeated results, and
+Each row of the table has a measure, its bounds, and the least number of words that a text must have for the rule to be asked of it: the
+production table asks for function words in texts of 100 words or more, and everything else of every text.
+
+Null text counts as a text without words; texts of any length are judged whole. Empty tables give empty results, repeated rows give repeated results, and
 columns of the input whose names are those of a result are replaced by the result.
 """
 
@@ -32,12 +35,16 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes if low <= measure <= high; None leaves a side open. measure: SQL over the statistics below."""
+    """A document passes if low <= measure <= high; None leaves a side open. measure: SQL over the statistics below.
+
+    min_words: the rule is asked of texts of that many words only; shorter ones pass it.
+    """
 
     name: str
     measure: str
     low: float | None
     high: float | None
+    min_words: int = 0
 
 
 #: The production table. Measures are numbers a document has once its statistics are known.
@@ -45,8 +52,7 @@ RULES: tuple[Rule, ...] = (
     Rule("length", "n_words", 10, None),
     Rule("word_length", "try_divide(word_chars, n_words)", 1.5, 15.0),
     Rule("symbols", "try_divide(n_symbols, n_words)", None, 0.3),
-    # a short text may do without function words
-    Rule("stop_words", "CASE WHEN n_words >= 100 THEN try_divide(n_stop_words, n_words) END", 0.02, None),
+    Rule("stop_words", "try_divide(n_stop_words, n_words)", 0.02, None, min_words=100),  # a short text may do without function words
     Rule("duplicate_lines", "try_divide(n_dup_lines, n_lines)", None, 0.5),
     Rule("repeated_words", "try_divide(n_repeat_words, n_words)", None, 0.2),
     Rule("upper_case", "try_divide(n_upper, word_chars)", None, 0.5),
@@ -115,7 +121,7 @@ def compile_rules(rules: Sequence[Rule]) -> tuple[Column, Column]:
             bad = bad | (value < r.low)
         if r.high is not None:
             bad = bad | (value > r.high)
-        failed.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(r.name)))
+        failed.append(F.when((F.col("n_words") >= r.min_words) & F.coalesce(bad, F.lit(False)), F.lit(r.name)))
     names = F.array_compact(F.array(*failed))
     return F.size(names) == 0, names
 
