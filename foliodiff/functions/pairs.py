@@ -12,6 +12,7 @@ EQUALS = "^([A-Za-z][A-Za-z0-9 _/().\\-&'*]+?)[ \t]*=[ \t]*(.+)$"
 GAP = "^([A-Za-z][A-Za-z ]{0,29}?)[ \t]{2,}(.+)$"
 NUMBER = "^([A-Za-z]{3,30})[ \t]([ \t]*[0-9][0-9,.:/-]*)$"
 FIELD_LINE = "^([A-Za-z][A-Za-z0-9 _/().'&-]*?)[ \t]*[:=][ \t]*(.+)$"
+KEY_VALUE = "^([A-Za-z][A-Za-z0-9 _/().\\-&'*]+)[ \t]*[:=][ \t]*(.+)$"
 SHORT_WORDS = "^[A-Za-z][A-Za-z ]{0,4}$"
 LABEL = "^[A-Za-z][A-Za-z ]{1,29}$"
 COLUMN_NAME = "^[A-Za-z][A-Za-z ]{0,9}$"

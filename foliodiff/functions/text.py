@@ -121,3 +121,8 @@ def word_diff(a: Column, b: Column) -> Column:
         return F.when(x == y, F.array(seg(x, False, False))).otherwise(F.concat(gone, new))
 
     return F.flatten(F.zip_with(left, right, pair))
+
+
+def stamp(time: Column) -> Column:
+    """A time as part of a file name, to the second: 2024-05-06-07-08-09."""
+    return F.date_format(time, "yyyy-MM-dd-HH-mm-ss")

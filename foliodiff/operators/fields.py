@@ -82,3 +82,9 @@ def header_changes(ref: DataFrame, ver: DataFrame) -> DataFrame:
     """
     heads = [x.filter("r = 0").select("doc", F.col("sheet_idx").alias("pos"), "c", F.btrim("value", F.lit(BLANK)).alias(name)).filter(F.col(name) != "") for x, name in ((ref, "old"), (ver, "new"))]
     return heads[0].join(heads[1], ["doc", "pos", "c"]).filter((F.col("old") != F.col("new")) & ~is_numeric(F.col("old")))
+
+
+def changed_and_kept(found: DataFrame) -> DataFrame:
+    """Records of compare_versions with the versions (from 1) that changed and those that did not."""
+    of = lambda wanted: F.filter(F.transform("kinds", lambda k, i: F.when((k == "unchanged") != F.lit(wanted), i + 1)), lambda x: x.isNotNull())
+    return found.withColumns({"changed": of(True), "kept": of(False)})

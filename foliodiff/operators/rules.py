@@ -47,10 +47,12 @@ def apply_rules(diffs: DataFrame, rules: DataFrame, session: DataFrame) -> DataF
     return found.withColumns({"ignored_scope": scope, "rule_id": rule}).drop("_once", *[f"_{s}" for s in SCOPES])
 
 
-def visible(diffs: DataFrame, search: str = "", difference_type: str | None = None) -> DataFrame:
-    """Differences that no rule hides, of one type if given, that hold the searched text in any of their texts."""
-    shown = diffs.filter("ignored_scope IS NULL")
+def visible(diffs: DataFrame, search: str = "", difference_type: str | None = None, group: str | None = None, show_ignored: bool = False) -> DataFrame:
+    """Differences that hold the searched text in any of their texts, of one type and one report if given; those that a rule hides only on demand."""
+    shown = diffs if show_ignored else diffs.filter("ignored_scope IS NULL")
     if difference_type:
         shown = shown.filter(F.col("difference_type") == difference_type)
+    if group:
+        shown = shown.filter(F.col("group_label") == group)
     text = F.lower(F.concat_ws("\n", "group_label", "location_label", "reference_text", "version_text"))
     return shown.filter(text.contains(search.lower())) if search else shown

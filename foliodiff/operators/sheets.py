@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliodiff.functions.pairs import COLON
-from foliodiff.functions.text import cell_address, column_letters, is_numeric, normalize_key
+from foliodiff.functions.text import cell_address, column_index, column_letters, is_numeric, normalize_key
 
 SHEET = ["doc", "sheet_idx", "sheet"]
 BLANK = " \t\r\n\f\x0b"
@@ -232,3 +232,39 @@ def single_column_items(cells: DataFrame) -> DataFrame:
         *SHEET, "r", F.when(is_field, "field_value").otherwise("table_cell").alias("kind"), F.when(is_field, normalize_key(label)).otherwise(F.concat(F.lit("cell_"), "r", F.lit("_0"))).alias("key"),
         F.coalesce(label, cell_address(F.col("r"), F.col("c"))).alias("label"), value.alias("value"),
     )
+
+
+def sheet_lines(cells: DataFrame) -> DataFrame:
+    """(doc, line_no, line): workbooks as text. A line `[name]` opens each sheet; its rows follow, cells joined by tabs, without empty ones at the end.
+
+    Rows up to the last filled one are told, empty ones too; line numbers count from 0. One row is one value, a sheet never is. Rows that have no cell are made from the
+    next filled row's distance to the one before it.
+    """
+    some = cells.filter("value <> ''")
+    rows = some.groupBy(*SHEET, "r").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("x"))
+    width = F.array_max(F.transform("x", lambda v: v["c"]))
+    places = F.map_from_entries("x")
+    line = F.array_join(F.transform(F.sequence(F.lit(0), width), lambda c: F.coalesce(F.element_at(places, c), F.lit(""))), "\t")
+    before = F.coalesce(F.lag("r").over(W.partitionBy(*SHEET).orderBy("r")), F.lit(-1))
+    gaps = rows.select(*SHEET, "r", line.alias("line"), (F.col("r") - before - 1).alias("gap"))
+    filled_in = gaps.select(*SHEET, "r", F.explode(F.concat(F.array_repeat(F.lit(""), F.col("gap")), F.array("line"))).alias("line"), "gap").withColumn("at", F.row_number().over(W.partitionBy(*SHEET, "r").orderBy(F.col("line") != "")))
+    names = cells.select(*SHEET).distinct().select(*SHEET, F.lit(-1).alias("r"), F.concat(F.lit("["), "sheet", F.lit("]")).alias("line"), F.lit(0).alias("at"))
+    every = filled_in.select(*SHEET, "r", "line", "at").unionByName(names)
+    number = F.row_number().over(W.partitionBy("doc").orderBy("sheet_idx", "sheet", "r", "at")) - 1
+    return every.select("doc", number.alias("line_no"), "line")
+
+
+def cell_locations(records: DataFrame, ref: DataFrame) -> DataFrame:
+    """records of compare_sheets with location: of a changed cell its sheet and the header of its column, else the first filled cell of its row, else its address; of others their label.
+
+    Headers and first cells come from the reference by two many-to-one joins.
+    """
+    letters, number = F.regexp_extract("address", "^([A-Z]+)", 1), F.regexp_extract("address", "([0-9]+)$", 1)
+    at = records.withColumns({"_c": F.when(F.col("address").isNotNull(), column_index(letters)), "_r": F.when(F.col("address").isNotNull(), number.cast("int") - 1)})
+    some = filled(ref).withColumn("_text", F.btrim("value", F.lit(BLANK)))
+    one = some.groupBy("doc", "sheet", "c", "r").agg(F.min(F.struct("sheet_idx", "_text"))["_text"].alias("_text"))  # of sheets with one name the first
+    heads = one.filter("r = 0").select("doc", "sheet", F.col("c").alias("_c"), F.col("_text").alias("_head"))
+    firsts = one.groupBy("doc", "sheet", F.col("r").alias("_r")).agg(F.min(F.struct("c", "_text"))["_text"].alias("_first"))
+    found = at.join(heads, ["doc", "sheet", "_c"], "left").join(firsts, ["doc", "sheet", "_r"], "left")
+    told = F.concat("sheet", F.lit(" → "), F.coalesce("_head", "_first", "address"))
+    return found.withColumn("location", F.when((F.col("difference_type") == "cell_changed") & F.col("address").isNotNull(), told).otherwise(F.col("location_label"))).drop("_c", "_r", "_head", "_first")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliodiff.plans import canonical_queries, compare_queries, layout_queries, naming_queries, report_queries, run_queries, text_queries
+from foliodiff.plans import canonical_queries, compare_queries, element_queries, layout_queries, naming_queries, report_queries, run_queries, text_queries
 
-_ALL = {**text_queries.QUERIES, **naming_queries.QUERIES, **compare_queries.QUERIES, **canonical_queries.QUERIES, **layout_queries.QUERIES, **report_queries.QUERIES, **run_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **naming_queries.QUERIES, **compare_queries.QUERIES, **canonical_queries.QUERIES, **layout_queries.QUERIES, **report_queries.QUERIES, **run_queries.QUERIES, **element_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

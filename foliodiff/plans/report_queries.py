@@ -67,8 +67,10 @@ o{n} AS (SELECT * FROM {source} s WHERE NOT EXISTS (SELECT 1 FROM m{n} m WHERE m
 
 
 _CELL, _KEYED, _RUNNING = "kind IN ('key_value', 'table_cell', 'table_header')", "kind IN ('key_value', 'heading', 'table_cell', 'table_header')", "kind IN ('prose', 'list_item')"
-_SEMANTIC = f"""
-WITH i AS (SELECT pair_id, 'base' AS side, idx, kind, label, value FROM {w.oracle(_FIRST)} UNION ALL SELECT pair_id, 'comp', idx, kind, label, value FROM {w.oracle(_SECOND)}),
+def _matching(first: str, second: str) -> str:
+    """CTEs up to told(pair_id, side, idx, phase, partner, status) for relations of elements."""
+    return f"""
+i AS (SELECT pair_id, 'base' AS side, idx, kind, label, value FROM {first} UNION ALL SELECT pair_id, 'comp', idx, kind, label, value FROM {second}),
 e AS (SELECT *, {sql.normalize_key('label')} AS key, {sql.aggressive('value')} AS same, {sql.token_key('value')} AS words, {sql.token_key('label')} AS names FROM i),
 {_phase(1, "e", "key", _KEYED)},
 {_phase(2, "o1", "same", "true")},
@@ -76,10 +78,10 @@ held AS (SELECT pair_id, CASE side WHEN 'base' THEN 'comp' ELSE 'base' END AS si
 says AS (SELECT o.pair_id, o.side, min(idx) AS idx FROM o2 o JOIN held h ON h.pair_id = o.pair_id AND h.side = o.side WHERE {_RUNNING} AND len(words) BETWEEN greatest(1, len(c)) AND 2 * len(c) AND len(list_filter(words, lambda x: NOT list_contains(c, x))) = 0 GROUP BY 1, 2),
 g AS (SELECT o.pair_id, o.side, o.idx, {_CELL} AS cell, s.idx AS by_idx FROM o2 o JOIN says s ON s.pair_id = o.pair_id AND ((o.side = s.side AND o.idx = s.idx) OR (o.side <> s.side AND {_CELL}))),
 o3 AS (SELECT * FROM o2 o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.pair_id = o.pair_id AND g.side = o.side AND g.idx = o.idx)),
-{_phase(4, "o3", "words", _RUNNING + " AND len(words) > 0")}
-{" UNION ALL ".join(f"SELECT pair_id, '{side}' AS side, {a} AS idx, '{name}' AS phase, {b} AS partner, CASE WHEN {n} > 1 OR eq THEN 'identical' ELSE 'changed' END AS status FROM m{n}" for n, name in ((1, 'key'), (2, 'value'), (4, 'tokens')) for side, a, b in (('base', 'bi', 'ci'), ('comp', 'ci', 'bi')))}
+{_phase(4, "o3", "words", _RUNNING + " AND len(words) > 0")},
+told AS ({" UNION ALL ".join(f"SELECT pair_id, '{side}' AS side, {a} AS idx, '{name}' AS phase, {b} AS partner, CASE WHEN {n} > 1 OR eq THEN 'identical' ELSE 'changed' END AS status FROM m{n}" for n, name in ((1, 'key'), (2, 'value'), (4, 'tokens')) for side, a, b in (('base', 'bi', 'ci'), ('comp', 'ci', 'bi')))}
 UNION ALL SELECT pair_id, side, idx, 'gathered', CASE WHEN cell THEN by_idx END, 'identical' FROM g
-UNION ALL SELECT pair_id, side, idx, NULL, NULL, CASE side WHEN 'base' THEN 'missing' ELSE 'added' END FROM o4
+UNION ALL SELECT pair_id, side, idx, NULL, NULL, CASE side WHEN 'base' THEN 'missing' ELSE 'added' END FROM o4)
 """
 
 
@@ -120,6 +122,6 @@ QUERIES = {
         f"""WITH n AS (SELECT name, count(*) AS n, regexp_extract(name, '[a-z ]([0-9]+)', 1)::INT AS a, regexp_extract(name, '[0-9]([b.]?)[0-9]*$', 1) AS t, try_cast(regexp_extract(name, '[.]([0-9]+)$', 1) AS INT) AS b FROM {w.oracle(_NAMES)} GROUP BY ALL)
         SELECT left(name, 4) AS head, name, n, (row_number() OVER (PARTITION BY left(name, 4) ORDER BY a, t, b NULLS FIRST, name))::INT AS position FROM n""",
     ),
-    "semantic_match": (semantic_match, _SEMANTIC),
+    "semantic_match": (semantic_match, f"WITH {_matching(w.oracle(_FIRST), w.oracle(_SECOND))} SELECT * FROM told"),
     "text_nway_diff": (text_nway_diff, None),  # shortest scripts: tested against plain rules
 }
