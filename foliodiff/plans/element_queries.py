@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliodiff.functions.lines import clean_lines
 from foliodiff.functions.text import stamp
 from foliodiff.operators import elements, fields, grouping, rules, sheets
+from foliodiff.operators.word_segments import word_segments
 from foliodiff.plans import canonical_queries, compare_queries, naming_queries, report_queries, run_queries, sql
 from foliodiff.plans import workloads as w
 
@@ -54,6 +56,14 @@ def changed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("group_id", "key", "n", F.concat_ws(",", "changed").alias("changed"), F.concat_ws(",", "kept").alias("kept"))
 
 
+def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents and another version of each: words left out, changed, and put in."""
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("pair_id"), F.posexplode(clean_lines(F.col("text"))).alias("line", "old"))
+    words = F.split("old", " ")
+    changed = F.transform(words, lambda x, i: F.when((i + F.col("pair_id")) % 13 == 5, F.upper(x)).when((i + F.col("pair_id")) % 19 == 7, F.concat(x, F.lit(" more"))).otherwise(x))
+    return word_segments(lines.withColumn("new", F.array_join(F.filter(changed, lambda x, i: (i + F.col("pair_id")) % 17 != 3), " ")))
+
+
 def _elements(relation: str) -> str:
     """CTEs up to el(doc, idx, kind, key, label, value, location), prose that states fields as fields."""
     key_value, colon, equals = "^([A-Za-z][A-Za-z0-9 _/().\\-&''*]+)[ \\t]*[:=][ \\t]*(.+)$", "^([A-Za-z][A-Za-z0-9 _/().\\-&''*]+?)[ \\t]*:[ \\t]*(.+)$", "^([A-Za-z][A-Za-z0-9 _/().\\-&''*]+?)[ \\t]*=[ \\t]*(.+)$"
@@ -101,6 +111,7 @@ _NWAY = compare_queries.QUERIES["field_nway"][1]
 QUERIES = {
     "semantic_elements": (semantic_elements, f"WITH {_elements(w.oracle(canonical_queries.LINES))} SELECT * FROM el"),
     "semantic_records": (semantic_records, _OLDER),
+    "aligned_words": (aligned_words, None),  # tested against a plain longest common subsequence
     "sheet_text_lines": (
         sheet_text_lines,
         f"""WITH v AS (SELECT * FROM {w.oracle(run_queries._BOOK_LATER)}), e AS (SELECT doc, sheet_idx, sheet, r, max(c) AS last FROM v WHERE value <> '' GROUP BY ALL), z AS (SELECT doc, sheet_idx, sheet, unnest(range(0, m + 1)) AS r FROM (SELECT doc, sheet_idx, sheet, max(r) AS m FROM e GROUP BY ALL)),
