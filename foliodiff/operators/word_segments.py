@@ -3,7 +3,7 @@
 Words that both texts hold exactly once are anchors. The longest run of anchors in the same order on both sides is kept, and from each of them, and from both ends,
 equal words and spaces next to each other are kept too, forwards first. Where all words differ from each other that is the longest common subsequence; of words that repeat
 between anchors some may be told as removed and added though they were kept. No table of all words against all words is made: words meet by joins on (pair, word),
-alignment is windows over one pair, and only the anchors of one pair of lines are one value.
+alignment is windows over one pair, and only anchors that cross each other, between two that cross none, are one value.
 """
 
 from __future__ import annotations
@@ -45,16 +45,23 @@ def word_segments(pairs: DataFrame) -> DataFrame:
     cut = pairs.select(*KEY, words(F.col("old")).alias("x"), words(F.col("new")).alias("y"))
     a = cut.select(*KEY, F.posexplode("x").alias("a", "word"))
     b = cut.select(*KEY, F.posexplode("y").alias("b", "word"))
-    once = lambda side, at: side.groupBy(*KEY, "word").agg(F.count("*").alias("n"), F.min(at).alias(at)).filter("n = 1").drop("n")
-    anchors = once(a, "a").join(once(b, "b"), [*KEY, "word"]).filter("word rlike '[^ \\t\\n\\r\\f\\x0b]'").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("all"))
     edge = lambda i, j: F.array(F.struct(i.cast("int").alias("a"), j.cast("int").alias("b")))
-    known = cut.join(anchors, KEY, "left").select(*KEY, F.explode(F.concat(F.coalesce(_longest(F.col("all")), F.array().cast("array<struct<a:int,b:int>>")), edge(F.lit(-1), F.lit(-1)), edge(F.size("x"), F.size("y")))).alias("k"))
+    once = lambda side, at: side.groupBy(*KEY, "word").agg(F.count("*").alias("n"), F.min(at).alias(at)).filter("n = 1").drop("n")
+    anchors = once(a, "a").join(once(b, "b"), [*KEY, "word"]).filter("word rlike '[^ \\t\\n\\r\\f\\x0b]'")
+    # An anchor that crosses no other one is in every longest run; those between two of them are looked at by themselves.
     by_a = W.partitionBy(*KEY).orderBy("a")
-    fixed = known.select(*KEY, "k.a", "k.b").withColumns({"next_a": F.lead("a").over(by_a), "next_b": F.lead("b").over(by_a)})
+    before, after = F.max("b").over(by_a.rowsBetween(W.unboundedPreceding, -1)), F.min("b").over(by_a.rowsBetween(1, W.unboundedFollowing))
+    crossed = anchors.withColumn("free", F.coalesce(F.col("b") > before, F.lit(True)) & F.coalesce(F.col("b") < after, F.lit(True)))
+    block = F.count_if("free").over(by_a.rowsBetween(W.unboundedPreceding, W.currentRow))
+    blocks = crossed.withColumn("block", block).filter("NOT free").groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("all"))
+    chosen = crossed.filter("free").select(*KEY, "a", "b").unionByName(blocks.select(*KEY, F.inline(_longest(F.col("all")))))
+    ends = cut.select(*KEY, F.inline(F.concat(edge(F.lit(-1), F.lit(-1)), edge(F.size("x"), F.size("y")))))
+    fixed = chosen.unionByName(ends).withColumns({"next_a": F.lead("a").over(by_a), "next_b": F.lead("b").over(by_a)})
 
     # every word of the old line hangs on the anchor before it; forwards it faces the word as far behind the other's anchor, backwards as far before the next
-    gaps = fixed.filter("next_a IS NOT NULL")
-    hung = a.join(gaps.select(*KEY, F.col("a").alias("from_a"), F.col("b").alias("from_b"), "next_a", "next_b"), KEY).filter("a > from_a AND a < next_a")
+    opened = a.unionByName(cut.select(*KEY, F.lit(-1).alias("a"), F.lit(None).cast("string").alias("word"))).join(fixed.filter("next_a IS NOT NULL").withColumn("_at", F.struct("a", "b", "next_a", "next_b")).select(*KEY, "a", "_at"), [*KEY, "a"], "left")
+    since = F.last("_at", ignorenulls=True).over(by_a.rowsBetween(W.unboundedPreceding, W.currentRow))
+    hung = opened.withColumn("_since", since).filter("_at IS NULL").select(*KEY, "a", "word", F.col("_since.a").alias("from_a"), F.col("_since.b").alias("from_b"), "_since.next_a", "_since.next_b")
     faced = hung.withColumns({"fwd": F.col("from_b") + F.col("a") - F.col("from_a"), "bwd": F.col("next_b") - F.col("next_a") + F.col("a")})
     other = b.select(*KEY, F.col("b").alias("_b"), F.col("word").alias("_w"))
     meet = lambda df, at, name: df.join(other.withColumnRenamed("_b", at).withColumnRenamed("_w", f"{name}_word"), [*KEY, at], "left")
