@@ -101,6 +101,7 @@ def test_equals_plain_loop(spark):
         return out
 
     sides = [(document(), document()) for _ in range(700)]
+    sides += [([prose("Net-Sum | x y")], [field("Net-Sum", "x | y")]), ([prose("Net-Sum:")], [field("Net-Sum", "7")])]
     got = pairs_of(spark, *([(n, i, *row) for n, pair in enumerate(sides) for i, row in enumerate(pair[k])] for k in (0, 1)))
     clean = lambda rows: [(kind, label, value or "") for kind, label, value in rows]
     want = sorted((n, *p) for n, (base, comp) in enumerate(sides) for p in plain_pairs(clean(base), clean(comp)))
