@@ -2,89 +2,119 @@
 
 Words that both texts hold exactly once are anchors. The longest run of anchors in the same order on both sides is kept, and from each of them, and from both ends,
 equal words and spaces next to each other are kept too, forwards first. Where all words differ from each other that is the longest common subsequence; of words that repeat
-between anchors some may be told as removed and added though they were kept. No table of all words against all words is made: words meet by joins on (pair, word),
-alignment is windows over one pair, and only anchors that cross each other, between two that cross none, are one value.
+between anchors some may be told as removed and added though they were kept. No table of all words against all words is made: a line is aligned in time n log n by
+itself, in the task that read it, so words are never shuffled or written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["pair_id", "line"]
+#: Words are runs of other characters than ASCII white space, which counts as well.
+WORD = re.compile("[^ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+")
+#: Segments, and characters of them, that are given out at a time.
+HELD, HELD_CHARS = 20_000, 4_000_000
 
 
-def _longest(anchors: Column) -> Column:
+def _longest(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest part of anchors (a, b), sorted by a, in which b rises; of several, the one whose ends come first."""
-    step_type = "array<struct<a:int,b:int,n:int,back:int>>"
+    ends: list[int] = []  # by length: the least b at which a run of that length ends
+    falling: list[list[int]] = []  # by length: -b of all ends in order, and where they stand
+    places: list[list[int]] = []
+    back = []
+    for at, (_, b) in enumerate(anchors):
+        n = bisect_right(ends, b)
+        back.append(places[n - 1][bisect_right(falling[n - 1], -b)] if n else -1)
+        if n == len(ends):
+            ends.append(b)
+            falling.append([])
+            places.append([])
+        ends[n] = b
+        falling[n].append(-b)
+        places[n].append(at)
+    at, kept = (places[-1][0] if places else -1), []
+    while at >= 0:
+        kept.append(anchors[at])
+        at = back[at]
+    return kept[::-1]
+
 
-    def step(found: Column, x: Column) -> Column:
-        before = F.filter(F.transform(found, lambda f, i: F.struct((-f["n"]).alias("n"), i.alias("at"), f["b"].alias("b"))), lambda f: f["b"] < x["b"])
-        best = F.array_min(before)
-        here = F.struct(x["a"].alias("a"), x["b"].alias("b"), (1 - F.coalesce(best["n"], F.lit(0))).alias("n"), F.coalesce(best["at"], F.lit(-1)).alias("back"))
-        return F.concat(found, F.array(here).cast(step_type))
+def align(x: list[str], y: list[str]) -> list[tuple[str, int]]:
+    """Segments (value, sort) in order; sort is 0 for kept words, 1 for removed and 2 for added ones."""
+    if x == y:
+        return [("".join(x), 0)] if x else []
+    in_x, in_y = Counter(x), Counter(y)
+    at_y = {w: j for j, w in enumerate(y) if in_y[w] == 1}
+    anchors = [(i, at_y[w]) for i, w in enumerate(x) if in_x[w] == 1 and w in at_y and w[0] not in " \t\n\r\f\x0b"]
+    kept: list[tuple[int, int]] = []
+    a, b = -1, -1
+    for next_a, next_b in [*_longest(anchors), (len(x), len(y))]:
+        i, j = a + 1, b + 1
+        while i < next_a and j < next_b and x[i] == y[j]:
+            kept.append((i, j))
+            i, j = i + 1, j + 1
+        p, q = next_a, next_b
+        while p > i and q > j and x[p - 1] == y[q - 1]:
+            p, q = p - 1, q - 1
+        kept += [(p + k, q + k) for k in range(next_a - p)]
+        kept.append((next_a, next_b))
+        a, b = next_a, next_b
+    parts: list[tuple[int, list[str]]] = []
 
-    def trace(found: Column) -> Column:
-        last = F.array_min(F.transform(found, lambda f, i: F.struct((-f["n"]).alias("n"), i.alias("at"))))["at"]
-        start = F.struct(F.coalesce(last, F.lit(-1)).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("kept"))
-        back = lambda s, _: F.when(s["at"] < 0, s).otherwise(F.struct(F.get(found, s["at"])["back"].alias("at"), F.concat(s["kept"], F.array(F.struct(F.get(found, s["at"])["a"].alias("a"), F.get(found, s["at"])["b"].alias("b")))).alias("kept")))
-        return F.aggregate(found, start, back, lambda s: s["kept"])
+    def put(sort: int, words: list[str]) -> None:
+        if words:
+            if parts and parts[-1][0] == sort:
+                parts[-1][1].extend(words)
+            else:
+                parts.append((sort, words))
 
-    chains = F.aggregate(anchors, F.array().cast(step_type), step)
-    return F.transform(F.array(chains), trace)[0]
+    a, b = 0, 0
+    for i, j in kept:
+        put(1, x[a:i])
+        put(2, y[b:j])
+        put(0, x[i : i + 1])
+        a, b = i + 1, j + 1
+    return [("".join(words), sort) for sort, words in parts]
 
 
 def word_segments(pairs: DataFrame) -> DataFrame:
     """(pair_id, line, n, value, added, removed) of lines (pair_id, line, old, new): segments in order, n from 0; what was removed comes before what was added.
 
     Segments that were not added give the old line, those not removed the new one. Words are runs of other characters than white space, which counts as well. Null lines are empty
-    ones; two empty lines give no row. Repeated (pair_id, line) are not allowed. Other columns are left out.
+    ones; two empty lines give no row. Other columns are left out. Nothing is shuffled.
     """
-    words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([^ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+)"), F.lit(0))
-    cut = pairs.select(*KEY, words(F.col("old")).alias("x"), words(F.col("new")).alias("y"))
-    a = cut.select(*KEY, F.posexplode("x").alias("a", "word"))
-    b = cut.select(*KEY, F.posexplode("y").alias("b", "word"))
-    edge = lambda i, j: F.array(F.struct(i.cast("int").alias("a"), j.cast("int").alias("b")))
-    once = lambda side, at: side.groupBy(*KEY, "word").agg(F.count("*").alias("n"), F.min(at).alias(at)).filter("n = 1").drop("n")
-    anchors = once(a, "a").join(once(b, "b"), [*KEY, "word"]).filter("word rlike '[^ \\t\\n\\r\\f\\x0b]'")
-    # An anchor that crosses no other one is in every longest run; those between two of them are looked at by themselves.
-    by_a = W.partitionBy(*KEY).orderBy("a")
-    before, after = F.max("b").over(by_a.rowsBetween(W.unboundedPreceding, -1)), F.min("b").over(by_a.rowsBetween(1, W.unboundedFollowing))
-    crossed = anchors.withColumn("free", F.coalesce(F.col("b") > before, F.lit(True)) & F.coalesce(F.col("b") < after, F.lit(True)))
-    block = F.count_if("free").over(by_a.rowsBetween(W.unboundedPreceding, W.currentRow))
-    blocks = crossed.withColumn("block", block).filter("NOT free").groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("all"))
-    chosen = crossed.filter("free").select(*KEY, "a", "b").unionByName(blocks.select(*KEY, F.inline(_longest(F.col("all")))))
-    ends = cut.select(*KEY, F.inline(F.concat(edge(F.lit(-1), F.lit(-1)), edge(F.size("x"), F.size("y")))))
-    fixed = chosen.unionByName(ends).withColumns({"next_a": F.lead("a").over(by_a), "next_b": F.lead("b").over(by_a)})
-
-    # every word of the old line hangs on the anchor before it; forwards it faces the word as far behind the other's anchor, backwards as far before the next
-    opened = a.unionByName(cut.select(*KEY, F.lit(-1).alias("a"), F.lit(None).cast("string").alias("word"))).join(fixed.filter("next_a IS NOT NULL").withColumn("_at", F.struct("a", "b", "next_a", "next_b")).select(*KEY, "a", "_at"), [*KEY, "a"], "left")
-    since = F.last("_at", ignorenulls=True).over(by_a.rowsBetween(W.unboundedPreceding, W.currentRow))
-    hung = opened.withColumn("_since", since).filter("_at IS NULL").select(*KEY, "a", "word", F.col("_since.a").alias("from_a"), F.col("_since.b").alias("from_b"), "_since.next_a", "_since.next_b")
-    faced = hung.withColumns({"fwd": F.col("from_b") + F.col("a") - F.col("from_a"), "bwd": F.col("next_b") - F.col("next_a") + F.col("a")})
-    other = b.select(*KEY, F.col("b").alias("_b"), F.col("word").alias("_w"))
-    meet = lambda df, at, name: df.join(other.withColumnRenamed("_b", at).withColumnRenamed("_w", f"{name}_word"), [*KEY, at], "left")
-    met = meet(meet(faced, "fwd", "f"), "bwd", "w")
-    gap = W.partitionBy(*KEY, "from_a")
-    ok = lambda word, at: F.coalesce((F.col("word") == F.col(word)) & (F.col(at) > F.col("from_b")) & (F.col(at) < F.col("next_b")), F.lit(False))
-    runs = met.withColumns({"f": F.min(ok("f_word", "fwd")).over(gap.orderBy("a").rowsBetween(W.unboundedPreceding, W.currentRow)), "w": F.min(ok("w_word", "bwd")).over(gap.orderBy(F.desc("a")).rowsBetween(W.unboundedPreceding, W.currentRow))})
-    reach = runs.withColumn("_last", F.coalesce(F.max(F.when(F.col("f"), F.col("fwd"))).over(gap), F.col("from_b")))
-    partner = F.when(F.col("f"), F.col("fwd")).when(F.col("w") & (F.col("bwd") > F.col("_last")), F.col("bwd"))
-    between = reach.select(*KEY, "a", partner.alias("b")).filter("b IS NOT NULL")
-    kept = fixed.filter("a >= 0 AND next_a IS NOT NULL").select(*KEY, "a", "b").unionByName(between)
-
-    # in order: kept words, and behind each what was removed, then what was added
-    old = a.join(kept.withColumnRenamed("b", "_b"), [*KEY, "a"], "left").select(*KEY, "word", F.col("a").alias("at"), F.col("_b").isNotNull().alias("same"), F.lit(1).alias("sort"))
-    new = b.join(kept.select(*KEY, "b"), [*KEY, "b"], "left_anti").select(*KEY, "word", F.col("b").alias("at"), F.lit(False).alias("same"), F.lit(2).alias("sort"))
-    new_all = b.join(kept.select(*KEY, "b", F.lit(True).alias("_k")), [*KEY, "b"], "left")
-    so_far = lambda at: W.partitionBy(*KEY).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
-    old = old.withColumn("rank", F.count_if("same").over(so_far("at")))
-    place = new_all.select(*KEY, F.col("b").alias("at"), F.count_if(F.col("_k").isNotNull()).over(so_far("b")).alias("rank"))
-    new = new.join(place, [*KEY, "at"])
-    every = old.withColumn("sort", F.when(F.col("same"), 0).otherwise(1)).unionByName(new)
-    order = W.partitionBy(*KEY).orderBy("rank", "sort", "at")
-    kind = every.withColumn("_new", (~F.lag("sort").over(order).eqNullSafe(F.col("sort"))).cast("int"))
-    segment = kind.withColumn("n", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
-    told = segment.groupBy(*KEY, "n").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "at", "word")))["word"], "").alias("value"), F.first("sort").alias("sort"))
-    return told.select(*KEY, F.col("n").cast("int").alias("n"), "value", (F.col("sort") == 2).alias("added"), (F.col("sort") == 1).alias("removed"))
+    taken = pairs.select(*KEY, F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
+    keys = [f"{name} {taken.schema[name].dataType.simpleString()}" for name in KEY]
+
+    def told(batch: pa.RecordBatch, rows: list[int], found: list[tuple[int, str, int]]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        n, value, sort = zip(*found, strict=True)
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int32()), pa.array(value, pa.string()), pa.array([s == 2 for s in sort]), pa.array([s == 1 for s in sort])]
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "n", "value", "added", "removed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            found: list[tuple[int, str, int]] = []
+            chars = 0
+            for row in range(batch.num_rows):
+                old, new = batch.column(2)[row].as_py(), batch.column(3)[row].as_py()
+                for n, (value, sort) in enumerate(align(WORD.findall(old), WORD.findall(new))):
+                    rows.append(row)
+                    found.append((n, value, sort))
+                    chars += len(value)
+                    if len(rows) >= HELD or chars >= HELD_CHARS:
+                        yield told(batch, rows, found)
+                        rows, found, chars = [], [], 0
+            if rows:
+                yield told(batch, rows, found)
+
+    return taken.mapInArrow(run, ", ".join([*keys, "n int", "value string", "added boolean", "removed boolean"]))

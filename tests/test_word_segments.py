@@ -73,3 +73,16 @@ def test_small(spark):
     found = segments(spark, [(1, 0, "the rate is 5 now", "the fee is 6 now"), (2, 0, None, "a b"), (3, 0, "a", ""), (4, 0, "", None), (5, 0, "same line", "same line")])
     assert found[1, 0] == [("the ", False, False), ("rate", False, True), ("fee", True, False), (" is ", False, False), ("5", False, True), ("6", True, False), (" now", False, False)]
     assert found[2, 0] == [("a b", True, False)] and found[3, 0] == [("a", False, True)] and (4, 0) not in found and found[5, 0] == [("same line", False, False)]
+
+
+def test_lines_are_aligned_where_they_were_read(spark, capsys):
+    """No word is shuffled or written, whatever crosses; lines of one number stay lines of their own."""
+    many = [f"w{i}" for i in range(4000)]
+    rows = [(1, 0, " ".join(many), " ".join(many[::-1])), (1, 0, "a b", "a c"), (1, 0, "a b", "a b")]
+    found = word_segments(spark.createDataFrame(rows, PAIR))
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    told = found.collect()
+    assert [(r.n, r.value) for r in told][-4:] == [(0, "a "), (1, "b"), (2, "c"), (0, "a b")]
+    whole = told[:-4]
+    assert "".join(r.value for r in whole if not r.added) == rows[0][2] and "".join(r.value for r in whole if not r.removed) == rows[0][3]
