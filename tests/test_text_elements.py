@@ -107,3 +107,9 @@ def test_filters_and_switches(spark):
     kinds = spark.createDataFrame([(["unchanged", "removed", "changed"],)], "kinds array<string>")
     assert [(r.changed, r.kept) for r in fields.changed_and_kept(kinds).collect()] == [([2, 3], [1])]
     assert spark.range(1).select(stamp(F.timestamp_seconds(F.lit(86_399)))).first()[0] == "1970-01-01-23-59-59"
+
+
+def test_stamps_of_far_years(spark):
+    seconds = [(253_402_300_799, "9999-12-31-23-59-59"), (253_402_300_800, "10000-01-01-00-00-00"), (3_100_000_000_000, "100205-02-02-15-06-40"), (-62_135_596_800, "0001-01-01-00-00-00"), (-62_167_219_201, "-1-12-31-23-59-59"), (None, None)]
+    rows = spark.createDataFrame(seconds, "s long, told string").select(stamp(F.timestamp_seconds("s")).alias("mine"), "told").collect()
+    assert all(r.mine == r.told for r in rows)
