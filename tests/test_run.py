@@ -182,3 +182,8 @@ def test_figures_of_a_run(spark):
 def test_first_names_of_a_level(spark):
     docs = spark.createDataFrame([(f"r/n{i:02}",) for i in range(30)] + [("r",)], "dir string")
     assert {tuple(r) for r in grouping.level_histogram(docs, shown=3).collect()} == {(1, 1, "r", 0), (2, 30, "n00,n01,n02", 27)}
+
+
+def test_all_names_of_a_level(spark):
+    docs = spark.createDataFrame([(f"r/n{i:02}",) for i in range(30)] * 2 + [("r",)], "dir string")
+    assert {tuple(r) for r in grouping.level_histogram(docs).collect()} == {(1, 1, "r"), (2, 30, ",".join(f"n{i:02}" for i in range(30)))}
