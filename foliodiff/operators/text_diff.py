@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliodiff.durable import shuffled, written
+
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """A shortest script of ("-", i, j) and ("+", i, j) steps from a to b; i and j are positions in a and b when it applies.
@@ -90,19 +92,15 @@ def line_differences(pairs: DataFrame, key: str = "pair_id", old: str = "old", n
     return taken.mapInArrow(run, "pair_id long, op string, line int, text string")
 
 
-def version_hunks(versions: DataFrame) -> DataFrame:
-    """(group_id, version, line, kind, reference_text, text) of versions (group_id, version, old, new); old is the reference's lines.
-
-    A reference line in a hunk is changed to the added line of its place there, or removed where that is missing or empty;
-    added lines beyond the replaced ones are not told, as in the reports this follows. Lines put in between are one row, kind
-    added, with the number of the line before. Nothing is shuffled.
-    """
+def _read_versions(versions: DataFrame) -> DataFrame:
+    """version_hunks(), and a row of kind `version` for each version, so that one pass over texts tells both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, int, str, str, str]] = []
             for group, version, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 a = a or []
+                out.append((group, version, None, "version", None, None))
                 for start, end, added in hunks(a, b or []):
                     if start == end:
                         out.append((group, version, start, "added", "", "\n".join(t for t in added if t.strip())))
@@ -117,22 +115,36 @@ def version_hunks(versions: DataFrame) -> DataFrame:
     return taken.mapInArrow(run, "group_id long, version int, line int, kind string, reference_text string, text string")
 
 
+def version_hunks(versions: DataFrame) -> DataFrame:
+    """(group_id, version, line, kind, reference_text, text) of versions (group_id, version, old, new); old is the reference's lines.
+
+    A reference line in a hunk is changed to the added line of its place there, or removed where that is missing or empty;
+    added lines beyond the replaced ones are not told, as in the reports this follows. Lines put in between are one row, kind
+    added, with the number of the line before. Nothing is shuffled.
+    """
+    return _read_versions(versions).filter("kind <> 'version'")
+
+
 def compare_versions(versions: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(group_id, location_signature, reference_text, version, kind, text) of any number of versions against one reference.
 
     A changed reference line has a row for each version of its group, `unchanged` where that version keeps it; places of
     insertion (`after-Ln`) have rows of the versions that insert there, if any inserts text. Null and empty versions have
-    lost all lines; groups without differences give no rows. found is version_hunks(versions) where a caller has stored it.
+    lost all lines; groups without differences give no rows. found is version_hunks(versions) where a caller has stored it;
+    else it is written to the shared folder, so that texts are read and compared once.
     """
-    found = version_hunks(versions) if found is None else found
+    each = versions.select(F.col("group_id").cast("long"), F.col("version").cast("int"))
+    if found is None:
+        read = written(_read_versions(versions))
+        found, each = read.filter("kind <> 'version'"), read.filter("kind = 'version'").select("group_id", "version")
     put = found.filter("kind = 'added'")
     places = put.groupBy("group_id", "line").agg(F.max("text").alias("most")).filter("most <> ''").drop("most")
-    inserted = put.join(places, ["group_id", "line"], "left_semi").select("group_id", F.concat(F.lit("after-L"), "line").alias("location_signature"), "reference_text", "version", "kind", "text")
+    inserted = put.join(shuffled(places), ["group_id", "line"], "left_semi").select("group_id", F.concat(F.lit("after-L"), "line").alias("location_signature"), "reference_text", "version", "kind", "text")
     cut = found.filter("kind <> 'added'")
     real = F.bool_or((F.col("kind") == "removed") | (F.col("text") != F.col("reference_text")))
     lines = cut.groupBy("group_id", "line").agg(F.max("reference_text").alias("reference_text"), real.alias("real")).filter("real").drop("real")
-    every = lines.join(versions.select(F.col("group_id").cast("long"), F.col("version").cast("int")).distinct(), "group_id")
-    told = every.join(cut.select("group_id", "line", "version", "kind", "text"), ["group_id", "line", "version"], "left")
+    every = lines.join(shuffled(each.distinct()), "group_id")
+    told = every.join(shuffled(cut.select("group_id", "line", "version", "kind", "text")), ["group_id", "line", "version"], "left")
     changed = told.select(
         "group_id", F.concat(F.lit("L"), "line").alias("location_signature"), "reference_text", "version", F.coalesce("kind", F.lit("unchanged")).alias("kind"), F.coalesce("text", "reference_text").alias("text")
     )

@@ -148,3 +148,14 @@ def test_report_tree_and_model(spark):
     }
     lost = report.report_model(found, groups).filter("group_id = 7").collect()[0]
     assert (lost.account, lost.package_name, lost.category, lost.report_name, lost.baseline) == ("(root)", "(root)", "", "Lost Group", "a b")
+
+
+def test_texts_are_compared_once(spark, capsys):
+    """All parts of the result come from one written pass over the texts."""
+    from foliodiff.operators import text_diff
+
+    versions = spark.createDataFrame([(1, 0, ["a", "b"], ["a", "B"]), (1, 1, ["a", "b"], ["a", "b"]), (2, 0, ["c"], None)], "group_id long, version int, old array<string>, new array<string>")
+    found = text_diff.compare_versions(versions)
+    found.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    assert {tuple(r) for r in found.collect()} == {(1, "L2", "b", 0, "changed", "B"), (1, "L2", "b", 1, "unchanged", "b"), (2, "L1", "c", 0, "removed", "")}
