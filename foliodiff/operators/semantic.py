@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliodiff.durable import written
+from foliodiff.durable import shuffled, spread, written
 from foliodiff.functions.text import aggressive, normalize_key, tokens
 
 #: Kinds that are known by a key, kinds that are cells, and kinds that are running text.
@@ -46,7 +46,7 @@ def _gather(items: DataFrame) -> DataFrame:
     counted = known.withColumn("n_held", F.count_if(F.col("new")).over(W.partitionBy("pair_id", "side"))).filter("NOT cell")
     texts = counted.groupBy("pair_id", "side", "idx").agg(F.count("*").alias("n"), F.min("known").alias("known"), F.first("n_held").alias("n_held")).filter("known AND n BETWEEN n_held AND 2 * n_held")
     first = lambda s: F.min(F.when(F.col("side") == s, F.col("idx"))).alias(f"_{s}")
-    joined = items.join(texts.groupBy("pair_id").agg(first("base"), first("comp")), "pair_id", "left")
+    joined = items.join(shuffled(texts.groupBy("pair_id").agg(first("base"), first("comp"))), "pair_id", "left")
     side, prose, is_open = F.col("side"), F.col("kind").isin(*PROSE), F.col("match").isNull()
     by = lambda s: is_open & F.col(f"_{s}").isNotNull() & (((side == s) & prose & (F.col("idx") == F.col(f"_{s}"))) | ((side != s) & cell))
     match = F.when(by("base"), "base gathers").when(by("comp"), "comp gathers").otherwise(F.col("match"))
@@ -71,7 +71,7 @@ def match_elements(base: DataFrame, comp: DataFrame) -> DataFrame:
         {"key": normalize_key(F.col("label")), "same": value_key(F.col("value")), "words": F.array_join(tokens(F.coalesce("value", F.lit(""))), " "), "match": F.lit(None).cast("string"), "phase": F.lit(None).cast("string")}
     )
     items = written(items)
-    found = _pair_up(items.repartition("pair_id"), "key", "key", F.col("kind").isin(*KEYED))
+    found = _pair_up(spread(items, "pair_id"), "key", "key", F.col("kind").isin(*KEYED))
     found = _pair_up(found, "value", "same", F.lit(True))
     found = _gather(found)
     found = _pair_up(found, "tokens", "words", F.col("kind").isin(*PROSE) & (F.col("words") != ""))
