@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliodiff.durable import written
+from foliodiff.durable import shuffled, spread, written
 from foliodiff.functions.pairs import COLON, EQUALS, KEY_VALUE, cells_of, pair, trim
 from foliodiff.functions.text import normalize_key
 from foliodiff.operators.run import sentence
@@ -44,7 +44,7 @@ def text_elements(lines: DataFrame) -> DataFrame:
     """Elements of text lines (doc, line_no, line): rows of pipe tables first (a header row as prose, then label and value of the first two cells), then headings, list
     items, fields and prose. Headers, list items and prose are numbered together. Null and blank lines and lines of rules give nothing."""
     so_far = W.partitionBy("doc").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = cells_in_turn(lines).select("doc", "place", trim(F.coalesce("line", F.lit(""))).alias("line"))
+    rows = cells_in_turn(spread(lines.select("doc", "line_no", "line"), "doc")).select("doc", "place", trim(F.coalesce("line", F.lit(""))).alias("line"))
     rows = rows.withColumn("cells", cells_of(F.col("line")))
     rows = rows.withColumn("table", F.size(F.filter("cells", lambda c: c != "")) >= 2)
     opens = F.col("table") & ~F.coalesce(F.lag("table").over(W.partitionBy("doc").orderBy("place")), F.lit(False))
@@ -103,7 +103,7 @@ def element_records(base: DataFrame, comp: DataFrame, b_format: Column, c_format
     told = lambda side, name: side.select("pair_id", F.col("idx").alias(f"_{name}"), F.struct("kind", "key", "label", "value", "location").alias(name))
     own = F.when(F.col("side") == "base", F.col("idx"))
     other = F.when(F.col("side") == "base", F.col("partner")).otherwise(F.col("idx"))
-    both = found.withColumns({"_base": own, "_comp": other}).join(told(base, "base"), ["pair_id", "_base"], "left").join(told(comp, "comp"), ["pair_id", "_comp"], "left")
+    both = found.withColumns({"_base": own, "_comp": other}).join(shuffled(told(base, "base")), ["pair_id", "_base"], "left").join(shuffled(told(comp, "comp")), ["pair_id", "_comp"], "left")
     b, c, status = (lambda name: F.col(f"base.{name}")), (lambda name: F.col(f"comp.{name}")), F.col("status")
     kind = (
         F.when(status == "missing", "missing_content").when(status == "added", "added_content").when(b("kind").isin("key_value", "heading"), "value_mismatch").when(b("kind").isin("table_cell", "table_header"), "cell_changed").otherwise("text_changed")

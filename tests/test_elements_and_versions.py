@@ -159,3 +159,18 @@ def test_texts_are_compared_once(spark, capsys):
     found.explain()
     assert "MapInArrow" not in capsys.readouterr().out
     assert {tuple(r) for r in found.collect()} == {(1, "L2", "b", 0, "changed", "B"), (1, "L2", "b", 1, "unchanged", "b"), (2, "L1", "c", 0, "removed", "")}
+
+
+def test_tasks_grow_with_the_lines(spark, monkeypatch):
+    """What one task sorts stays the same: more lines or elements are dealt to more tasks."""
+    from foliodiff import durable
+    from foliodiff.operators import elements, semantic
+
+    monkeypatch.setattr(durable, "TASK_ROWS", 10)
+    lines = spark.range(90).selectExpr("id AS doc", "0 AS line_no", "concat('Name: v', id) AS line")
+    found = elements.text_elements(lines)
+    assert found.rdd.getNumPartitions() == 9 and found.filter("kind = 'key_value'").count() == 90
+    side = found.selectExpr("doc AS pair_id", "idx", "kind", "label", "value")
+    matched = semantic.match_elements(side, side)
+    assert matched.filter("status = 'identical'").count() == 180
+    assert matched.rdd.getNumPartitions() >= 9
