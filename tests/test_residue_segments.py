@@ -144,3 +144,16 @@ def test_no_python_in_the_plan(spark):
     items = spark.createDataFrame([(1, 0, "paragraph", "", "Account 1000")], ITEM)
     plan = residue._pairs(residue._by_rank(residue._sides(items, items)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_leave_only_starts_of_keys(spark, monkeypatch):
+    """A text leaves a mark for each key it may hold, not for each of its short substrings; where keys are too many to list, the same rows are found."""
+    base = spark.createDataFrame([(1, 0, "field_value", "Owner", "mara"), (1, 1, "field_value", "City", "x"), (2, 0, "field_value", "", "y")], ITEM)
+    comp = spark.createDataFrame([(1, 5, "paragraph", "p", "the quick brown fox and its owner jumped over many lazy dogs"), (1, 6, "paragraph", "q", "a city far away"), (2, 7, "paragraph", "r", "nothing"), (3, 8, "paragraph", "s", "no fields at all")], ITEM)
+    free = residue._by_rank(residue._sides(base, comp)).filter("mate IS NULL")
+    assert residue._met(free).filter("mark LIKE 'k%'").count() == 2
+    found = lambda: sorted(map(tuple, residue.match_residue(base, comp).collect()))
+    listed = found()
+    assert [r[:4] for r in listed] == [(1, "field_said_by_prose", 0, 5), (1, "field_said_by_prose", 1, 6)]
+    monkeypatch.setattr(residue, "MOST_STARTS", 0)
+    assert found() == listed
