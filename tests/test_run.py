@@ -141,6 +141,39 @@ def test_runs_go_on(spark, tmp_path, monkeypatch):
     assert told(run.RunStore(spark, f"{tmp_path}/store").records()) == second
 
 
+def test_a_run_takes_the_disk_of_one_step(spark, monkeypatch):
+    """Items are compared in slices; of all that a run writes on its way, only the numbered records are left, and no shuffle files."""
+    from pathlib import Path
+
+    from foliodiff import durable
+
+    monkeypatch.setattr(run, "SLICE_ROWS", 5)
+    shared = Path(durable.shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    records = run.compare_run(*folder(spark, **{name: SETS[name] for name in ("a__r_v1_DOT_docx", "a__r_v2_DOT_rtf", "a__r_v1_DOT_xlsx", "b__t_v1_DOT_docx", "b__t_v2_DOT_docx")}))
+    left = set(shared.iterdir()) - before
+    assert {Path(f).parent.name for f in records.inputFiles()} == {f.name for f in left} and len(left) == 1
+    assert [r[1:] for r in told(records)] == [
+        ("a", "docx", "rtf", "value_mismatch", "field_value|owner|Line 1", "Mara", "Olaf"), ("a", "docx", "rtf", "missing_content", "missing|only here", "yes", ""), ("a", "docx", "rtf", "added_content", "added|newer", "", "1"),
+        ("a", "docx", "xlsx", "value_mismatch", "field_value|rate|Line 2", "5", "6"),
+        ("b", "docx", "docx", "text_changed", "L2", "second", "2nd"), ("b", "docx", "docx", "text_changed", "after-L3", "", "fourth"),
+    ]
+
+
+def test_steps_keep_what_they_are_told_to(spark):
+    from foliodiff.durable import steps, written
+
+    with steps(spark) as keep:
+        with steps(spark) as keep_inner:
+            gone, passed, kept = (written(spark.range(n)) for n in (1, 2, 3))
+            keep_inner(passed.union(kept))
+        keep(kept)
+    assert kept.count() == 3
+    for df in (gone, passed):
+        with pytest.raises(Exception, match="(?i)not.?found|not.?exist"):
+            df.count()
+
+
 def test_empty_run(spark):
     none = folder(spark)
     assert run.compare_run(*none).count() == 0
