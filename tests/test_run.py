@@ -142,12 +142,12 @@ def test_runs_go_on(spark, tmp_path, monkeypatch):
 
 
 def test_a_run_takes_the_disk_of_one_step(spark, monkeypatch):
-    """Items are compared in slices; of all that a run writes on its way, only the numbered records are left, and no shuffle files."""
+    """Items are read and compared in slices; of all that a run writes on its way, only the numbered records are left, and no shuffle files."""
     from pathlib import Path
 
     from foliodiff import durable
 
-    monkeypatch.setattr(run, "SLICE_ROWS", 5)
+    monkeypatch.setattr(run, "SLICE_ROWS", 9)
     shared = Path(durable.shared_folder(spark).removeprefix("file:"))
     before = set(shared.iterdir()) if shared.exists() else set()
     records = run.compare_run(*folder(spark, **{name: SETS[name] for name in ("a__r_v1_DOT_docx", "a__r_v2_DOT_rtf", "a__r_v1_DOT_xlsx", "b__t_v1_DOT_docx", "b__t_v2_DOT_docx")}))
